@@ -30,12 +30,12 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **extra: str) -> Spar
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers of a remote cluster.
+    """Make this package importable in Python workers, wherever they run and whatever the driver's working directory.
 
-    Local masters share the driver's file system and path. The package is code of a fixed small size.
+    The package is code of a fixed small size; it is shipped once for each Spark context.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_corvane_shipped", False):
+    if getattr(sc, "_corvane_shipped", False):
         return
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="corvane")) / "corvane.zip"
