@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import ship_package
 
-LEAST_PIVOTS, MOST_PIVOTS = 64, 65_536
+LEAST_PIVOTS, MOST_PIVOTS = 64, 65_536  # an order holds pivots in 16 bits
 #: Pivots in a vector's order, inverted files that it is posted in, and candidates reranked in each file.
 ORDER, POSTED, RERANKED = 8, 5, 96
 
@@ -71,12 +71,12 @@ def _post(pivots_bytes: bytes, width: int):
                 x = _unit(part.column(1).to_pylist(), width).astype(np.float32)
                 near = x @ pivots.T
                 best = np.argpartition(-near, order_size - 1, axis=1)[:, :order_size] if order_size < len(pivots) else np.tile(np.arange(len(pivots)), (len(x), 1))
-                ranked = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                ranked = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1).astype(np.uint16)
                 rows = np.repeat(np.arange(len(x)), posted)
                 again = part.take(pa.array(rows))
                 orders = [r.tobytes() for r in ranked]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranked[:, :posted].ravel()), again.column(0), again.column(1), pa.array([orders[i] for i in rows], pa.binary()), again.column(2)],
+                    [pa.array(ranked[:, :posted].ravel().astype(np.int32)), again.column(0), again.column(1), pa.array([orders[i] for i in rows], pa.binary()), again.column(2)],
                     names=["pivot", "class", "vector", "order", "ids"],
                 )
 
@@ -90,12 +90,14 @@ def _rank(width: int, k: int):
         table = pa.Table.from_batches(held).combine_chunks()
         classes = table.column(1).to_numpy()
         x = _unit(table.column(2).to_pylist(), width)
-        orders = np.frombuffer(b"".join(table.column(3).to_pylist()), np.int32).reshape(len(x), -1)
+        orders = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(len(x), -1)
         ids = table.column(4).to_pylist()
         names = np.array([i for own in ids for i in own], dtype=object)
         holder = np.repeat(np.arange(len(x)), [len(own) for own in ids])
         place = np.empty(len(names), np.int64)
         place[np.argsort(names.astype(str), kind="stable")] = np.arange(len(names))
+        files = orders[:, :POSTED]
+        rank_of = (files == table.column(0)[0].as_py()).argmax(axis=1)
         local, codes = np.unique(orders, return_inverse=True)
         codes = codes.reshape(orders.shape)
         weights = np.zeros((len(local), len(x)), np.int16)  # what a pivot's position is worth
@@ -119,6 +121,13 @@ def _rank(width: int, k: int):
             best = np.argpartition(-key, wanted - 1, axis=1)[:, :wanted]
             best = np.take_along_axis(best, np.argsort(-np.take_along_axis(key, best, 1), axis=1), 1)
             sims = np.take_along_axis(similar, holder[best], 1)
+            # a pair that an earlier file of the vector holds too is left to that file
+            mine = rank_of[a:b]
+            other = files[holder[best]]
+            earlier = np.zeros(best.shape, bool)
+            for at in range(files.shape[1]):
+                earlier |= (at < mine)[:, None] & (other == files[a:b, at, None, None]).any(axis=2)
+            sims[earlier] = -2_000_000
             found = [[(int(s), n) for s, n in zip(row, names[cols], strict=True) if s > -2_000_000] for row, cols in zip(sims, best, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(classes[a:b]), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.string()))],
