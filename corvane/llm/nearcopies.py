@@ -11,12 +11,13 @@ matrix with its transpose is taken in blocks of n-grams, and bounds from the siz
    ``n - ceil(t n) + SHARED``; only these are posted again.
 4. The blocks multiply: pairs of classes in one column, within the size bound ``t max(n) <= min(n)`` and the bound on what
    can still follow their positions, accumulate their counts; pairs below ``SHARED`` are discarded.
-5. The overlap of each pair left is counted on the full lists of shared n-grams.
+5. The overlap of each pair left is counted exactly, on the texts of one record of either class.
 
 Nothing is capped: no limit on partners, candidates or frequencies. Copies within one task post once, so a class that holds
 a third of all rows costs one row for each task. Per-task memory is one block of about ``BLOCK`` postings, plus a run of equal n-grams.
 
-n-grams are told apart by at least 36 bits of a 64-bit hash, classes by 64 bits.
+In the product n-grams are told apart by at least 36 bits, so chance can add candidates but lose none; classes are told
+apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -258,15 +259,43 @@ def _counter(blocks: int) -> Callable:
         often = np.repeat(np.minimum(sizes, 0xFFFFFFFF).astype(np.uint32), sizes)
         keep = often > 1
         gram, owner, often = gram[keep], owner[keep], often[keep]
-        full = (_U64(block) << _U64(32)) | gram.astype(_U64)
+        often = np.minimum(often, 255).astype(np.uint8)
         items = []
         for b, where in _split((owner % _U64(blocks)).astype(np.int64), blocks):
-            items.append((b, 2, None, None, None, None, _pack(owner[where], full[where], often[where])))
+            where = where[np.argsort(owner[where], kind="stable")]
+            docs, counts = np.unique(owner[where], return_counts=True)
+            items.append((b, 2, None, None, None, block, _pack(docs, counts.astype(np.uint32)) + _pack(gram[where], often[where])))
         yield _rows(items)
 
     return _by_block(step)
 
 
+def _shared(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    owners, grams, often = [], [], []
+    for batch in held:
+        for kind, source, p in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(6), strict=True):
+            if kind != 2:
+                continue
+            p = p.as_py()
+            docs, counts = _unpack([p], _U64, np.uint32)
+            low, f = _unpack([p[4 + 12 * len(docs) :]], np.uint32, np.uint8)
+            owners.append(np.repeat(docs, counts))
+            grams.append((_U64(source) << _U64(32)) | low.astype(_U64))
+            often.append(f)
+    if not owners:
+        return np.empty(0, _U64), np.empty(0, _U64), np.empty(0, np.uint8)
+    return np.concatenate(owners), np.concatenate(grams), np.concatenate(often)
+
+
+def _columns(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    parts = []
+    for p in _payloads(held, 3):
+        docs, sizes, counts = _unpack([p], _U64, np.uint32, np.uint32)
+        low, place = _unpack([p[4 + 16 * len(docs) :]], np.uint32, np.uint32)
+        parts.append((low, np.repeat(docs, counts), np.repeat(sizes, counts), place))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _prefixer(threshold: float, blocks: int) -> Callable:
     """Step 3: the classes that can have partners, their lists, and their first n-grams sent to the n-grams' blocks."""
 
@@ -278,7 +307,7 @@ def _prefixer(threshold: float, blocks: int) -> Callable:
                 members = batch.filter(pa.array(kinds == 0))
                 sizes.append(np.stack([members.column(4).to_numpy(zero_copy_only=False), members.column(5).to_numpy(zero_copy_only=False).astype(np.int64)]))
                 yield members
-        owner, gram, often = _unpack(_payloads(held, 2), _U64, _U64, np.uint32)
+        owner, gram, often = _shared(held)
         if not len(owner) or not sizes:
             return
         table = np.concatenate(sizes, axis=1)
@@ -300,10 +329,10 @@ def _prefixer(threshold: float, blocks: int) -> Callable:
         first_gram, first_owner = gram[take], owner[take]
         items = []
         for b, where in _split((first_gram >> _U64(32)).astype(np.int64), blocks):
-            items.append((b, 3, None, None, None, None, _pack((first_gram[where] & _U64(0xFFFFFFFF)).astype(np.uint32), first_owner[where], size[where], place[where])))
-        for s, c, m in zip(starts[able].tolist(), counts[able].tolist(), n[able].tolist(), strict=True):
-            key = int(owner[s])
-            items.append((block, 4, None, None, key - (1 << 64) if key >> 63 else key, m, np.sort(gram[s : s + c]).tobytes()))
+            docs, index = np.unique(first_owner[where], return_inverse=True)
+            order = where[np.argsort(index, kind="stable")]
+            per_doc = np.bincount(index)
+            items.append((b, 3, None, None, None, None, _pack(docs, size[order[np.cumsum(per_doc) - 1]], per_doc.astype(np.uint32)) + _pack((first_gram[order] & _U64(0xFFFFFFFF)).astype(np.uint32), place[order])))
         if items:
             yield _rows(items)
 
@@ -314,7 +343,7 @@ def _multiplier(threshold: float) -> Callable:
     """Step 4: (a, b, shared): classes in one column of a block, within the bounds, with the columns they share there."""
 
     def step(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, owner, size, place = _unpack(_payloads(held, 3), np.uint32, _U64, np.uint32, np.uint32)
+        gram, owner, size, place = _columns(held)
         order = np.lexsort((size, gram))
         gram, owner, size, place = gram[order], owner[order], size[order].astype(np.int64), place[order].astype(np.int64)
         # rows of one column are in the order of size: partners of a row follow it up to the size bound
@@ -356,15 +385,25 @@ def _multiplier(threshold: float) -> Callable:
     return _by_block(step)
 
 
-def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 5: (a, b, similarity) from the full lists."""
-    for batch in batches:
-        a, b, list_a, list_b, n_a, n_b = (batch.column(i).to_pylist() for i in range(6))
-        out = []
-        for x, y, m, n in zip(list_a, list_b, n_a, n_b, strict=True):
-            both = len(np.intersect1d(np.frombuffer(x, _U64), np.frombuffer(y, _U64), assume_unique=True))
-            out.append(both / (m + n - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+def _verifier(width: int, least_words: int) -> Callable:
+    """Step 5: (a, b, similarity) from the texts of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = [*part.column(2).to_pylist(), *part.column(3).to_pylist()]
+                doc, gram = gram_sets(texts, width, least_words, 0, known)
+                edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+                out, half = [], part.num_rows
+                for i in range(half):
+                    x, y = gram[edges[i] : edges[i + 1]], gram[edges[half + i] : edges[half + i + 1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append(both / max(1, len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+
+    return run
 
 
 def similar_classes(records: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -383,14 +422,14 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, width: int = 5,
     counted = spread(posted).mapInArrow(_counter(blocks), _ROW_DDL)
     kept = cut(spread(counted).mapInArrow(_prefixer(threshold, blocks), _ROW_DDL))
     members = kept.where("kind = 0").select("tbl", "id", "class", "n").distinct()
-    columns = kept.where("kind = 3")
-    pairs = spread(columns).mapInArrow(_multiplier(threshold), "a bigint, b bigint, shared bigint")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
-    lists = kept.where("kind = 4").select("class", "n", "payload")
-    left = lists.select(F.col("class").alias("a"), F.col("payload").alias("list_a"), F.col("n").alias("n_a"))
-    right = lists.select(F.col("class").alias("b"), F.col("payload").alias("list_b"), F.col("n").alias("n_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "list_a", "list_b", "n_a", "n_b")
-    links = both.mapInArrow(_verifier, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold - 1e-12)
+    products = spread(kept.where("kind = 3")).mapInArrow(_multiplier(threshold), "a bigint, b bigint, shared bigint")
+    pairs = products.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
+    pairs = cut(pairs)
+    heads = members.groupBy("class").agg(F.min(F.struct("id", "tbl")).alias("head"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(heads, "class").select("class", "head.tbl", "head.id")
+    texts = narrow.join(needed, ["tbl", "id"]).groupBy("class").agg(F.max("content").alias("content"))
+    both = pairs.join(texts.select(F.col("class").alias("a"), F.col("content").alias("x")), "a").join(texts.select(F.col("class").alias("b"), F.col("content").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(_verifier(width, least_words), "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold - 1e-12)
     return members, links
 
 
@@ -400,8 +439,10 @@ def similar_records(members: DataFrame, links: DataFrame) -> DataFrame:
     A class of more than ``PAIRED_COPIES`` equal records is shown by its first record: its other records are linked to
     that one only, and so are the records of similar classes. So no group of copies is expanded into all its pairs.
     """
-    heads = members.groupBy("class").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
-    sized = members.join(heads, "class")
+    links = cut(links)
+    linked = links.select(F.explode(F.array("a", "b")).alias("class")).distinct().withColumn("linked", F.lit(True))
+    heads = members.groupBy("class").agg(F.min("id").alias("head"), F.count("*").alias("copies")).join(linked, "class", "left").where((F.col("copies") > 1) | F.col("linked"))
+    sized = cut(members.select("tbl", "id", "class").join(heads, "class"))
     shown = sized.where((F.col("copies") <= PAIRED_COPIES) | (F.col("id") == F.col("head"))).select("tbl", "id", "class")
     few = sized.where(F.col("copies").between(2, PAIRED_COPIES)).select("tbl", "id", "class")
     equal = few.select("tbl", F.col("id").alias("x"), "class").join(few.select(F.col("id").alias("y"), "class"), "class").where("x < y").select("tbl", "x", "y")
