@@ -88,9 +88,9 @@ def path_tree(files: DataFrame, path: str, size: str) -> DataFrame:
     return rows.groupBy("directory").agg(F.count("*").alias("files"), F.sum("__s").alias("bytes")).withColumn("depth", F.when(F.col("directory") == "", 0).otherwise(F.size(F.split("directory", "/"))))
 
 
-def findings(files: DataFrame, key: str, issues: str, severity: Column) -> DataFrame:
-    """(key, issue, severity), one row for each issue."""
-    return files.select(key, F.explode(issues).alias("issue")).withColumn("severity", severity)
+def findings(files: DataFrame, key: str, issues: str, *keep: str) -> DataFrame:
+    """(key, *keep, issue), one row for each issue."""
+    return files.select(key, *keep, F.explode(issues).alias("issue"))
 
 
 def rollup(rows: DataFrame, *by: str) -> DataFrame:

@@ -85,4 +85,4 @@ def cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """``cost`` of calls (model, tokens_in, tokens_out) by a table of prices for 1000 tokens; unknown models cost 0."""
     price = F.broadcast(prices.select("model", "price_in", "price_out"))  # a list of models
     joined = calls.join(price, "model", "left")
-    return joined.withColumn("cost", F.round(F.coalesce(F.col("tokens_in") / 1000 * F.col("price_in") + F.col("tokens_out") / 1000 * F.col("price_out"), F.lit(0.0)), 6)).drop("price_in", "price_out")
+    return joined.withColumn("cost", F.round(F.coalesce(F.col("tokens_in") / 1000 * F.col("price_in") + F.col("tokens_out") / 1000 * F.col("price_out"), F.lit(0.0)), 9)).drop("price_in", "price_out")
