@@ -35,8 +35,8 @@ CONTAINED = 0.5
 HUGE = 1_000_000
 
 _GENERATED = re.compile(
-    r"code generated|@generated|auto-?generated|automatically generated|machine-written|machine generated|generated by (?:the )?\S+ (?:compiler|generator|tool)|\bgenerated (?:by|from) \S+\.?\w* ?v?\d|"
-    r"do not (?:edit|modify)|changes will be lost|regenerate (?:with|by|using)|edit \S+\.tmpl instead|generated file|generated code"
+    r"code generated|@generated|auto-?generated|automatically generated|machine-written|machine generated|generated by (?:the )?\S{1,80} (?:compiler|generator|tool)|\bgenerated (?:by|from) \S{1,80} ?v?\d|"
+    r"do not (?:edit|modify)|changes will be lost|regenerate (?:with|by|using)|edit \S{1,80}\.tmpl instead|generated file|generated code"
     # the same said in other languages
     r"|maschinell erzeugt|automatisch (?:erzeugt|generiert)|nicht (?:bearbeiten|editieren)|ne pas (?:modifier|éditer)|(?:généré|créé) automatiquement|fichier généré|no (?:modificar|editar)|generado (?:automáticamente|por)|não (?:modificar|editar)|gerado automaticamente"
     r"|non modificare|generato automaticamente|сгенерирован|не редактировать|不要(?:修改|编辑)|请勿(?:修改|编辑)|自动生成|自動生成|編集しない|자동 생성|수정하지",

@@ -57,7 +57,7 @@ _NUMBERED_ITEM = re.compile(r"[ \t]*(\d{1,4})[.)][ \t ]+\S")
 _DIALOGUE = re.compile(r"[ \t]*[QA][ \t ]*[:：]")
 _TERMS = ".!?…。！？｡।॥؟۔։።‼⁇⁈⁉．"
 _RUN = re.compile(f"[{_TERMS}]+")
-_SKIP = re.compile(r"`[^`\n]*(?:\n[^`\n]+)?`|(?:https?|ftp)://[^\s<>\"«»“”]*[^\s<>\"«»“”.,;:!?)\]]|[\w.+-]+@[\w-]+\.[\w.]+\w")
+_SKIP = re.compile(r"`[^`\n]*(?:\n[^`\n]+)?`|(?:https?|ftp)://[^\s<>\"«»“”]*[^\s<>\"«»“”.,;:!?)\]]|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}\.[\w.]{1,64}\w")
 _PAIRS = {"(": ")", "[": "]", "（": "）", "【": "】", "「": "」", "『": "』", "«": "»", "“": "”", "《": "》"}
 _MARKS = re.compile(r"[\"“”„«»「」『』()\[\]（）【】《》]")
 _OPENERS = "\"'“„‚‘«「『(（[【《¿¡`*_"
@@ -135,7 +135,7 @@ def _enclosed(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], l
         elif ch in _PAIRS or ch == "„":
             stack.append((ch, i))
         elif ch in ")]）】」』»”》":
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
                 opener = stack[depth][0]
                 if _PAIRS.get(opener) == ch or (opener == "„" and ch == "”"):
                     spans.append((stack[depth][1], i))
@@ -151,7 +151,7 @@ def _ends(text: str, start: int, end: int) -> list[int]:
     lower = not any(c.isupper() for c in body) and sum(c.islower() for c in body) >= 12
     closing = {b: a for a, b in spans}
     out: list[int] = []
-    unit, k = start, 0
+    unit, k, first = start, 0, 0
     for m in _RUN.finditer(text, start, end):
         s, e = m.span()
         while k < len(skip) and skip[k][1] <= s:
@@ -175,7 +175,13 @@ def _ends(text: str, start: int, end: int) -> list[int]:
                 break
         if after < end and text[after] in _TERMS:
             continue  # the run goes on behind the marks
-        if any(a < s < b and b >= after for a, b in spans if a >= unit and a < s):
+        while first < len(spans) and spans[first][0] < unit:
+            first += 1
+        inside, i = False, first
+        while i < len(spans) and spans[i][0] < s and not inside:
+            inside = spans[i][1] > s and spans[i][1] >= after
+            i += 1
+        if inside:
             continue  # within a quotation or bracket that is still open
         rest = after
         while rest < end and text[rest].isspace():
