@@ -416,6 +416,8 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, width: int = 5,
     ship_package(spark)
     narrow = records.select(F.col("tbl").cast("string"), F.col("id").cast("string"), F.col("content").cast("string"))
     size = int(str(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # a source that doesn't know its size
+        size = narrow.agg(F.sum(F.length("content"))).first()[0] or 0
     blocks = max(2 * cores(spark), min(1 << 20, size // (BLOCK * 4)))
     posted = narrow.where(F.col("content") != "").mapInArrow(_poster(width, least_words, blocks), _ROW_DDL)
     spread = lambda df: df.repartition(blocks, "block").sortWithinPartitions("block")

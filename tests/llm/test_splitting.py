@@ -22,10 +22,10 @@ def test_pieces_keep_the_contract(text, limit, overlap):
 
 def test_natural_boundaries():
     text = "First part here. " * 20 + "\n\n" + "Second part there. " * 20
-    pieces = X.split_points(text, 400, 40)
+    pieces = X.split_points(text, 450, 40)
     assert len(pieces) == 2 and text[pieces[0][1] - 1] == "\n"
     stored = [(str(i), text[a:b], a, b) for i, (a, b) in enumerate(pieces)]
-    assert not [f for f in X.piece_faults(text, stored, 400, 40) if f[1] != "overlap"]
+    assert not [f for f in X.piece_faults(text, stored, 450, 40) if f[1] != "overlap"]
 
 
 @pytest.mark.parametrize(
