@@ -124,3 +124,10 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, key: str, alpha: float = 0.5,
     order = [F.desc("combined_score"), F.asc_nulls_last("rank_v"), F.asc_nulls_last("rank_b"), F.asc(key)]
     fused = v.join(b, key, "full_outer").withColumn("combined_score", score).where(F.col("combined_score") >= min_score)
     return fused.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # top rows
+
+
+def hybrid_search(items: DataFrame, documents: DataFrame, key: str, vector: str, text: str, query: DataFrame, terms: list[str], top: int = 5, alpha: float = 0.5, fetch: int = 20, min_score: float = 0.0) -> DataFrame:
+    """The best of both rankings: ``fetch`` rows by vectors and by words each, fused, cut at a score and at ``top``."""
+    v = vector_topk(items, key, vector, query, fetch)
+    b = bm25_topk(documents, key, text, terms, fetch)
+    return fuse(v, b, key, alpha, top=top, min_score=min_score)

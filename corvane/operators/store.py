@@ -75,3 +75,18 @@ def latest(rows: DataFrame, by: str) -> DataFrame:
 
 def ranked_within(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def clear(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, deleted): the rows that clearing each table removes; the new snapshots are ``limit(0)`` of the old ones."""
+    out = None
+    for name, df in tables.items():
+        n = df.agg(F.lit(name).alias("tbl"), F.count("*").alias("deleted"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def save(df: DataFrame, folder: str, partition_by: str | None = None, mode: str = "append") -> None:
+    """Bulk write of a table; appended or as a new snapshot."""
+    writer = df.write.mode(mode)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(folder)

@@ -415,6 +415,39 @@ def knowledge_bundle(spark, d):
     return facts.unionByName(fixed).unionByName(good).unionByName(best)
 
 
+@query("SELECT DISTINCT id, question FROM rag_user_feedback WHERE 0.5 + 0.3 * rating >= 0.6 AND contains(lower(question), 'which')")
+def facts_filter(spark, d):
+    """Feedback stands for facts, of confidence 0.5 + 0.3 x rating and with the question as topic."""
+    f = table(spark, d, "rag_user_feedback", "id", "question", F.col("question").alias("topic"), (0.5 + 0.3 * F.col("rating")).alias("confidence")).where(F.col("confidence").isNotNull())
+    return learning.relevant_facts(f, "which", 0.6).select("id", "question").distinct()
+
+
+@query("SELECT id, round(0.5 + 0.3 * rating, 6) AS confidence, uses FROM (SELECT DISTINCT id, rating, coalesce(len(context_chunks), 0)::BIGINT AS uses FROM rag_user_feedback WHERE rating IS NOT NULL) ORDER BY round(0.5 + 0.3 * rating, 6) DESC, uses DESC, id LIMIT 50")
+def facts_leaderboard(spark, d):
+    """The report's first 50; the number of context chunks stands for uses."""
+    f = table(spark, d, "rag_user_feedback", "id", F.round(0.5 + 0.3 * F.col("rating"), 6).alias("confidence"), F.coalesce(F.array_size("context_chunks"), F.lit(0)).cast("bigint").alias("usage_count")).where(F.col("confidence").isNotNull()).distinct()
+    return learning.leaderboard(f, "id").withColumnRenamed("usage_count", "uses")
+
+
+@query("SELECT DISTINCT json_object('prompt', question, 'completion', answer)::VARCHAR AS value FROM rag_user_feedback WHERE rating >= 0.6 AND question IS NOT NULL AND answer IS NOT NULL")
+def training_pairs(spark, d):
+    """Well rated pairs as lines of JSON."""
+    f = table(spark, d, "rag_user_feedback", "question", "answer", "rating").where(F.col("rating") >= learning.POSITIVE)
+    return learning.training_lines(f.select(F.col("question").alias("prompt"), F.col("answer").alias("completion"))).distinct()
+
+
+@query("SELECT 'chunks' AS tbl, count(*)::BIGINT AS deleted FROM rag_chunks UNION ALL SELECT 'questions', count(*) FROM rag_knowledge_questions UNION ALL SELECT 'documents', count(*) FROM rag_documents")
+def clear_all(spark, d):
+    return store.clear({"chunks": table(spark, d, "rag_chunks", "id"), "questions": table(spark, d, "rag_knowledge_questions", "id"), "documents": table(spark, d, "rag_documents", "id")})
+
+
+@query("SELECT sha2 AS id, repo, count(*)::BIGINT AS files FROM (SELECT sha256(repo) AS sha2, repo FROM github_files WHERE type = 'file' AND coalesce(size, 0) <= 100000) GROUP BY ALL")
+def scan_summary(spark, d):
+    """Files of each repository within the scan's size, keyed by a stable id."""
+    g = table(spark, d, "github_files", "repo", "type", "size").where((F.col("type") == "file") & (F.coalesce("size", F.lit(0)) <= 100_000))
+    return g.groupBy(F.sha2("repo", 256).alias("id"), "repo").agg(F.count("*").alias("files"))
+
+
 # --- text and scalars ----------------------------------------------------------------------------------------------
 
 

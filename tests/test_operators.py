@@ -118,7 +118,11 @@ def test_learning(spark):
     chains = spark.createDataFrame([(0, "q", ["s1", "s2"], "end")], "pos int, question string, steps array<string>, final_answer string")
     text = learning.context(facts, fixed, chains).first()["context"]
     assert "• **T**: f" in text and "**T**: g" not in text and "✅ **Correct**: new" in text and "  2. s2" in text
-    assert learning.context(facts.limit(0), fixed.limit(0), chains.limit(0)).first()["context"] == ""
+    none = learning.context(facts.limit(0), fixed.limit(0), chains.limit(0))
+    assert none.first()["context"] == ""
+    refined = spark.createDataFrame([("better",)], "refined_query string")
+    assert tuple(learning.prompt(none, "q", "sys", refined).first()) == ("sys", "better", "better")
+    assert tuple(learning.prompt(none, "q", "sys", refined.limit(0)).first()) == ("sys", "q", "q")
 
 
 def test_code(spark):
