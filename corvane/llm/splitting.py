@@ -139,12 +139,30 @@ def routed(source: F.Column, metadata: F.Column) -> F.Column:
 _SCHEMA = "document_id string, kind string, strategy string, piece_no int, id string, fault string, start_char int, end_char int"
 
 
+def _once(at: int):
+    """Rows whose key (column ``at``) the task hasn't given yet, so a redelivered row costs one row for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            keep = []
+            for i, key in enumerate(batch.column(at).to_pylist()):
+                if key is None or key not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(key)
+                    keep.append(i)
+            yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def recut(documents: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """The faults of stored pieces, and new pieces for every document whose stored pieces break the contract or are missing.
 
     Rows: (document_id, kind, strategy, piece_no, id, fault, start_char, end_char), kind ``fault`` or ``piece``. Documents
-    and pieces meet by one shuffle on the document and stream through a sorted merge, so a task holds one text and one
-    run of piece rows of that text. ``limits`` has one row for each of the few strategies and is read on the driver.
+    and pieces, redelivered rows dropped in each task, meet by one shuffle on the document and stream through a sorted
+    merge, so a task holds one text and the pieces of that text. ``limits`` has one row for each of the few strategies and is read on the driver.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -186,7 +204,7 @@ def recut(documents: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFra
                 if rank == 0:
                     if text is None:
                         text, strategy = content or "", kind
-                elif key != seen:
+                elif key is None or key != seen:
                     pieces.append((key, content, start, end, kind))
                     seen = key
             if out[0]:
@@ -199,7 +217,8 @@ def recut(documents: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFra
         F.col("id").cast("string").alias("document_id"), F.lit(0).alias("rank"), F.lit(0).alias("chunk_index"), F.lit("").alias("key"), F.col("content"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"), routed(F.col("source"), F.col("metadata")).alias("strategy")
     )
     parts = chunks.select("document_id", F.lit(1).alias("rank"), F.col("chunk_index").cast("int"), F.col("id").cast("string").alias("key"), "content", F.col("start_char").cast("int"), F.col("end_char").cast("int"), "strategy")
-    rows = whole.unionByName(parts).repartition("document_id").sortWithinPartitions("document_id", "rank", "chunk_index", "key")
+    kept = whole.mapInArrow(_once(0), whole.schema).unionByName(parts.mapInArrow(_once(3), parts.schema))
+    rows = kept.repartition("document_id").sortWithinPartitions("document_id", "rank", "chunk_index", "key")
     return rows.mapInArrow(merge, _SCHEMA)
 
 

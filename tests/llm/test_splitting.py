@@ -49,11 +49,12 @@ def test_faults(pieces, want):
 def test_tables(spark):
     text = "Word one two. " * 100
     docs = spark.createDataFrame([("d", "a.md", text, None), ("d", "a.md", text, None), ("e", None, None, {"language": "python"}), ("f", "b.py", "", None), ("g", "c.log", "x" * 5000, None)], "id string, source string, content string, metadata map<string,string>")
-    chunks = spark.createDataFrame([("1", "d", text[:900], 0, 900, 0, "semantic", 1), ("1", "d", text[:900], 0, 900, 0, "semantic", 1), ("2", "d", text[860:], 860, 1400, 1, "semantic", 1), ("3", "zz", "a", 0, 1, 0, "fixed", 1), ("4", "e", None, None, None, None, None, 1)], "id string, document_id string, content string, start_char int, end_char int, chunk_index int, strategy string, rank int")
+    chunks = spark.createDataFrame([("1", "d", text[:900], 0, 900, 0, "semantic", 1), ("1", "d", text[:900], 0, 900, 0, "semantic", 1), ("2", "d", text[860:], 860, 1400, 1, "semantic", 1), ("3", "zz", "a", 0, 1, 0, "fixed", 1), ("4", "e", None, None, None, None, None, 1), (None, "d", "q", 0, 1, 2, "semantic", 1), (None, "d", "r", 0, 1, 3, "semantic", 1)], "id string, document_id string, content string, start_char int, end_char int, chunk_index int, strategy string, rank int")
     limits = spark.createDataFrame([("fixed", 1200, 120), ("semantic", 900, 90), ("ast", 1500, 150)], "strategy string, max_chars int, overlap_chars int")
     out = X.recut(docs, chunks, limits)
     faults = {(r.id, r.fault) for r in out.where("kind = 'fault'").collect()}
-    assert faults == {("2", "overlap"), ("3", "offset"), ("4", "offset")}
+    assert faults == {("2", "overlap"), ("3", "offset"), ("4", "offset"), (None, "offset")}
+    assert out.where("kind = 'fault' and id is null").count() == 2
     new = out.where("kind = 'piece'").collect()
     assert {r.document_id for r in new} == {"d", "g"}
     assert X.recut(docs.limit(0), chunks.limit(0), limits).count() == 0
