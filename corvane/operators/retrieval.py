@@ -41,11 +41,10 @@ def vector_topk_batch(items: DataFrame, key: str, vector: str, queries: DataFram
     its own k best of each query, and only those are shuffled. Zero, NULL and wrongly sized vectors take no part.
     """
     ship_package(items.sparkSession)
-    rows = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint"), vector).orderBy(query_key)
-    number, parts = rows.count(), []
-    numbered = rows.withColumn("__turn", F.floor((F.row_number().over(Window.orderBy(query_key)) - 1) / QUERIES_AT_ONCE)) if number > QUERIES_AT_ONCE else None
-    for turn in range(max(1, -(-number // QUERIES_AT_ONCE))):
-        held = (rows if numbered is None else numbered.where(F.col("__turn") == turn).drop("__turn")).collect()
+    rows = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint"), vector)
+    turns, parts = max(1, -(-rows.count() // QUERIES_AT_ONCE)), []
+    for turn in range(turns):  # one for any stated query set of usual size
+        held = rows.where(F.pmod(F.xxhash64(query_key), F.lit(turns)) == turn).collect()
         width = len(held[0][1]) if held else 1
         good = [(r[0], r[1]) for r in held if len(r[1]) == width and any(r[1]) and None not in r[1]]
         ids = np.array([r[0] for r in good], np.int64)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.operators.store import upsert
 
@@ -35,6 +39,24 @@ def distinct(events: DataFrame, *keys: str, late: str = "10 minutes") -> DataFra
     return t.dropDuplicatesWithinWatermark(list(keys)) if t.isStreaming else t.dropDuplicates(list(keys))
 
 
+def usage_stream(uses: DataFrame, key: str, order: str, helpful: str, confidence0: float = 0.5) -> DataFrame:
+    """(key, usage_count, success_rate, confidence) after every batch of a stream of uses: a clamped running confidence as keyed state.
+
+    Uses of one batch are taken in order; those of later batches follow. The batch twin is ``learning.usage_fold``.
+    """
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, s, c = state.get if state.exists else (0, 0, confidence0)
+        for ok in pd.concat(list(frames)).sort_values(order)[helpful]:
+            n, s = n + 1, s + int(ok)
+            c = max(0.0, min(1.0, c + (0.05 if ok else -0.02)))
+        state.update((n, s, c))
+        yield pd.DataFrame({key: [k[0]], "usage_count": [n], "success_rate": [round(s / n, 6)], "confidence": [round(c, 6)]})
+
+    out = f"`{key}` {dict(uses.dtypes)[key]}, usage_count bigint, success_rate double, confidence double"
+    return uses.groupBy(key).applyInPandasWithState(fold, out, "n bigint, s bigint, c double", "update", GroupStateTimeout.NoTimeout)
+
+
 def upsert_stream(changes: DataFrame, folder: str, key: str, order: str, checkpoint: str, keep: tuple[str, ...] = ()):
     """Writes a stream of changes into numbered snapshots of a table; the newest snapshot is the table.
 

@@ -24,6 +24,21 @@ def test_upsert_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(f"{out}/v1").collect()} == {(1, "a", 1), (2, "c", 2), (3, "d", 1)}
 
 
+def test_usage_stream_equals_its_batch_twin(spark, data, tmp_path):
+    from corvane.operators.learning import usage_fold
+
+    table = spark.read.parquet(f"{data}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 50).alias("ok")).dropDuplicates(["user_id", "ts"])
+    middle = table.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
+    for early in (True, False):
+        part = table.where((F.unix_micros("ts") <= middle) == early)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+        sink = lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out{n}"))
+        S.usage_stream(stream, "user_id", "ts", "ok").writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    newest = {r.user_id: tuple(r) for n in (0, 1) for r in spark.read.parquet(str(tmp_path / f"out{n}")).collect()}
+    assert set(newest.values()) == {tuple(r) for r in usage_fold(table, "user_id", "ts", F.col("ok")).collect()}
+
+
 def test_distinct(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:00"), (2, None)], "user_id int, t string").select("user_id", F.to_timestamp("t").alias("ts"))
     assert S.distinct(rows, "user_id", "ts").count() == 2
