@@ -1,8 +1,8 @@
 """The most similar vectors for every vector, by a permutation index.
 
-A vector is represented by its nearest pivots in order. It is posted in the inverted files of its first ``POSTED`` pivots;
-in such a file vectors are ranked by the footrule distance of their pivot orders, and the best ``RERANKED`` of each vector
-are reranked by exact cosine similarity. A vector's lists from its files are merged.
+A vector is posted in the inverted files of its ``POSTED`` nearest pivots. In such a file every vector is ranked against all
+others by exact cosine similarity, however many the file holds, and a vector's lists from its files are merged: they are the
+best of all vectors that share a file with it.
 
 Pivots are rows of the collection, drawn by the hash of their content, ``4 sqrt(N)`` of them rounded to a power of two, at
 least ``LEAST_PIVOTS`` and at most ``MOST_PIVOTS`` (the bounded sample that the index is fitted on and the only broadcast;
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from corvane.session import ship_package
 
 LEAST_PIVOTS, MOST_PIVOTS = 64, 65_536  # an order holds pivots in 16 bits
-#: Pivots in a vector's order, inverted files that it is posted in, and candidates reranked in each file.
-ORDER, POSTED, RERANKED = 8, 5, 96
+#: Inverted files that a vector is posted in.
+POSTED = 5
 
 
 def _usable(width: int):
@@ -63,20 +63,19 @@ def _post(pivots_bytes: bytes, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = np.frombuffer(pivots_bytes, np.float32).reshape(-1, width)
-        order_size = min(ORDER, len(pivots))
-        posted = min(POSTED, order_size)
+        posted = min(POSTED, len(pivots))
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 x = _unit(part.column(1).to_pylist(), width).astype(np.float32)
                 near = x @ pivots.T
-                best = np.argpartition(-near, order_size - 1, axis=1)[:, :order_size] if order_size < len(pivots) else np.tile(np.arange(len(pivots)), (len(x), 1))
+                best = np.argpartition(-near, posted - 1, axis=1)[:, :posted] if posted < len(pivots) else np.tile(np.arange(len(pivots)), (len(x), 1))
                 ranked = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1).astype(np.uint16)
                 rows = np.repeat(np.arange(len(x)), posted)
                 again = part.take(pa.array(rows))
                 orders = [r.tobytes() for r in ranked]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranked[:, :posted].ravel().astype(np.int32)), again.column(0), again.column(1), pa.array([orders[i] for i in rows], pa.binary()), again.column(2)],
+                    [pa.array(ranked.ravel().astype(np.int32)), again.column(0), again.column(1), pa.array([orders[i] for i in rows], pa.binary()), again.column(2)],
                     names=["pivot", "class", "vector", "order", "ids"],
                 )
 
@@ -90,38 +89,23 @@ def _rank(width: int, k: int):
         table = pa.Table.from_batches(held).combine_chunks()
         classes = table.column(1).to_numpy()
         x = _unit(table.column(2).to_pylist(), width)
-        orders = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(len(x), -1)
+        files = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(len(x), -1)
         ids = table.column(4).to_pylist()
         names = np.array([i for own in ids for i in own], dtype=object)
         holder = np.repeat(np.arange(len(x)), [len(own) for own in ids])
         place = np.empty(len(names), np.int64)
         place[np.argsort(names.astype(str), kind="stable")] = np.arange(len(names))
-        files = orders[:, :POSTED]
         rank_of = (files == table.column(0)[0].as_py()).argmax(axis=1)
-        local, codes = np.unique(orders, return_inverse=True)
-        codes = codes.reshape(orders.shape)
-        weights = np.zeros((len(local), len(x)), np.int16)  # what a pivot's position is worth
-        weights[codes, np.arange(len(x))[:, None]] = orders.shape[1] - np.arange(orders.shape[1])
-        lists = [np.flatnonzero(w) for w in weights]
         step = max(1, min(1024, 40_000_000 // max(1, len(x))))
         for a in range(0, len(x), step):
             b = min(len(x), a + step)
-            # footrule: the sum over common pivots of the worse position's worth falls as the distance grows
-            score = np.zeros((b - a, len(x)), np.int16)
-            for w, rows in zip(weights, lists, strict=True):
-                mine = rows[np.searchsorted(rows, a) : np.searchsorted(rows, b)]
-                if len(mine):
-                    score[np.ix_(mine - a, rows)] += np.minimum.outer(w[mine], w[rows])
             similar = np.rint(np.clip(x[a:b] @ x.T, -1, 1) * 1e6).astype(np.int64)
-            if len(x) > RERANKED:
-                floor = np.partition(score, len(x) - RERANKED, axis=1)[:, len(x) - RERANKED]
-                similar[score < np.maximum(floor, 1)[:, None]] = -2_000_000
             key = similar[:, holder] * np.int64(len(names)) + (len(names) - 1 - place)
             wanted = min(k + 1, len(names))
             best = np.argpartition(-key, wanted - 1, axis=1)[:, :wanted]
             best = np.take_along_axis(best, np.argsort(-np.take_along_axis(key, best, 1), axis=1), 1)
             sims = np.take_along_axis(similar, holder[best], 1)
-            # a pair that an earlier file of the vector holds too is left to that file
+            # a pair that an earlier file of the vector holds too is left to that file: it stands there unless k + 1 better rows do
             mine = rank_of[a:b]
             other = files[holder[best]]
             earlier = np.zeros(best.shape, bool)

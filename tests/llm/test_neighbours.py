@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from corvane.llm import neighbours as N
 
@@ -40,3 +41,22 @@ def test_empty_and_single(spark):
     empty = spark.createDataFrame([], "id string, embedding array<float>")
     assert N.nearest(empty, 5, 8).count() == 0
     assert N.nearest(spark.createDataFrame([("a", [1.0] * 8)], empty.schema), 5, 8).count() == 0
+
+
+def test_dense_files_lose_nothing():
+    """In files of several hundred vectors every list is the best of all that share a file with it."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    batch = pa.record_batch([pa.array(range(600), pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([[f"{i:03}"] for i in range(600)], pa.list_(pa.string()))], names=["class", "vector", "ids"])
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    posted = pa.Table.from_batches(list(N._post(unit[:9].astype(np.float32).tobytes(), 8)(iter([batch])))).sort_by("pivot")
+    own = np.zeros((600, 9), bool)
+    own[posted["class"].to_numpy(), posted["pivot"].to_numpy()] = True
+    assert own.sum(axis=0).max() > 300
+    got = {}
+    for out in N._rank(8, 5)(iter(posted.to_batches())):
+        for c, sims, ids in zip(*(col.to_pylist() for col in out.columns), strict=True):
+            got.setdefault(c, []).extend(zip([-s for s in sims], ids, strict=True))
+    s = np.where((own[:, None] & own[None]).any(axis=2), np.rint(unit @ unit.T * 1e6), -9e6)
+    for i in range(600):
+        assert [int(n) for _, n in sorted(got[i])[:6]] == np.argsort(-s[i], kind="stable")[:6].tolist()
