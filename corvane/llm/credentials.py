@@ -98,10 +98,10 @@ def names_credential(name: str, cache: dict[str, bool] = {}) -> bool:  # noqa: B
     return known
 
 
-def usable(value: str) -> bool:
+def usable(value: str, most: int = 4000) -> bool:
     """Whether a literal can be a live credential: mixed characters, no placeholder, reference, path or plain name."""
     n = len(value)
-    if n < 7 or n > 4000 or _PLACEHOLDER.search(value) or _UUID.match(value):
+    if n < 7 or n > most or _PLACEHOLDER.search(value) or _UUID.match(value):
         return False
     if any(c.isspace() for c in value):
         return False
@@ -116,6 +116,10 @@ def usable(value: str) -> bool:
     return len(set(value)) >= 5
 
 
+#: Lines for which a bracket that never closes is followed, unless it holds a value in pieces.
+NEAR = 8
+
+
 def _body(text: str, start: int, end: int) -> tuple[int, int]:
     """The span inside a literal's prefix and quotes."""
     while text[start] not in "\"'`":
@@ -124,15 +128,21 @@ def _body(text: str, start: int, end: int) -> tuple[int, int]:
     return start + q, end - q
 
 
-def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]]) -> None:
-    """Literals assigned or passed to credential names among the tokens from start, ahead of end or a few lines beyond."""
+def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]], unclosed: dict[int, int]) -> None:
+    """Literals assigned or passed to credential names among the tokens from start, until the statement or bracket closes.
+
+    A bracket that never closes holds a value in pieces, or else counts for ``NEAR`` lines only. ``unclosed`` has the depths
+    at line ends behind which none closes, so a text with many such brackets is followed to its end but once.
+    """
     holder, depth, pieces, lines, whole = "", 0, [], 0, True
     opened: list[str] = []
-    limit = min(len(text), end + 700)
+    limit = min(len(text), end + 700)  # slides along with the lines, for strings that never end
+    passed: dict[int, int] = {}
+    near = False  # whether the first piece stands within ``NEAR`` lines
 
     def settle() -> None:
         """Judge the literals gathered for the current holder: as one value in pieces, else the first usable one."""
-        if len(pieces) > 1 and whole and usable("".join(text[a:b] for a, b in pieces)):
+        if len(pieces) > 1 and whole and usable("".join(text[a:b] for a, b in pieces), len(text)):
             for i, (a, b) in enumerate(pieces):
                 found.setdefault(a, (b, "rest" if i else "pieces"))
             return
@@ -141,18 +151,28 @@ def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]])
                 found.setdefault(a, (b, "literal"))
                 return
 
-    last = ""
-    for m in _TOKEN.finditer(text, start, limit):
-        kind, s = m.lastgroup, m.group()
+    last, at = "", start
+    while m := _TOKEN.search(text, at, limit):
+        kind, s, at = m.lastgroup, m.group(), m.end()
         if kind == "nl":
             lines += 1
             if m.start() >= end and not holder:
                 break
-            if holder and (lines > 8 or not (depth > 0 or last in ("=", "(", "[", "+", ",", ":", "\\", "{", "&", "."))):
+            if holder and lines > NEAR and not (whole and near):
+                if near and lines == NEAR + 1 and any(usable(text[a:b]) for a, b in pieces):
+                    break
+                if depth >= unclosed.get(at, depth + 1):
+                    return
+                if depth > 0:
+                    passed[at] = depth
+            if holder and not (depth > 0 or last in ("=", "(", "[", "+", ",", ":", "\\", "{", "&", ".")):
                 settle()
                 holder, pieces, depth, whole = "", [], 0, True
                 if m.start() >= end:
                     break
+            if at > end:
+                close = text.find("\n", at)
+                limit = min(len(text), (close if close >= 0 else len(text)) + 700)
             continue
         if kind == "str":
             a, b = _body(text, m.start(), m.end())
@@ -162,6 +182,7 @@ def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]])
                     settle()
                 holder, pieces, depth, whole = inner, [], 0, True
             elif holder:
+                near = near or lines <= NEAR
                 pieces.append((a, b))
         elif kind == "name":
             if m.start() < end and names_credential(s):
@@ -171,6 +192,8 @@ def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]])
                 holder, depth, whole = s, 0, True
         elif kind == "op":
             if pieces and (s not in "+([,])&.\\;}" or (s == "," and depth > 0 and opened[-1:] != ["["])):
+                if whole and near and lines > NEAR and len(pieces) > 1:
+                    break
                 whole = False  # the literals aren't one value in pieces
             if s in "([{":
                 opened.append(s)
@@ -192,6 +215,10 @@ def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]])
             if m.start() >= end and not holder:
                 break
         last = s
+    else:
+        if holder and depth > 0 and lines > NEAR and not (whole and near):
+            unclosed.update(passed)
+            return
     if holder:
         settle()
 
@@ -223,9 +250,10 @@ def spans(text: str, path: str = "", candidates: list[int] | None = None) -> lis
         starts.append(at)
         at += len(line) + 1
     starts.append(at)
+    unclosed: dict[int, int] = {}
     for k in candidates:
         start, end = starts[k], starts[k + 1] - 1
-        _line(text, start, end, text[start:end], config, path, found)
+        _line(text, start, end, text[start:end], config, path, found, unclosed)
     out: list[tuple[int, int, str]] = []
     for a in sorted(found):
         b, kind = found[a]
@@ -234,7 +262,7 @@ def spans(text: str, path: str = "", candidates: list[int] | None = None) -> lis
     return out
 
 
-def _line(text: str, start: int, end: int, line: str, config: bool, path: str, found: dict[int, tuple[int, str]]) -> None:
+def _line(text: str, start: int, end: int, line: str, config: bool, path: str, found: dict[int, tuple[int, str]], unclosed: dict[int, int]) -> None:
     if "PRIVATE KEY" in line:
         for m in _KEY_BLOCK.finditer(line):
             close = text.find("-----END", start + m.end())
@@ -299,7 +327,7 @@ def _line(text: str, start: int, end: int, line: str, config: bool, path: str, f
         if after and usable(after.group(1)):
             found.setdefault(after.start(1), (after.end(1), "fallback"))
     if any(q in line for q in "\"'`") or line.rstrip().endswith(("(", "=", "[", "\\", "{", ":")):
-        _lexical(text, start, end, found)
+        _lexical(text, start, end, found, unclosed)
 
 
 def decoded(content: str | None, encoding: str | None) -> str:
@@ -317,10 +345,10 @@ def decoded(content: str | None, encoding: str | None) -> str:
 MASK = "REDACTED"
 
 
-def redact(text: str, path: str = "") -> str:
+def redact(text: str, path: str = "", candidates: list[int] | None = None) -> str:
     """The text with the characters of every credential replaced; line breaks inside (key blocks) stay."""
     out, at = [], 0
-    for a, b, kind in spans(text, path):
+    for a, b, kind in spans(text, path, candidates):
         out.append(text[at:a])
         if kind == "key":
             head = _KEY_BLOCK.match(text, a).end()
@@ -370,14 +398,12 @@ def redact_files(files: DataFrame) -> DataFrame:
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = []
-            for content, encoding, where in zip(batch.column(at).to_pylist(), batch.column(enc).to_pylist(), batch.column(path).to_pylist(), strict=True):
-                if content:
-                    text = decoded(content, encoding)
-                    clean = redact(text, where or "")
-                    if clean != text:
-                        content = base64.encodebytes(clean.encode()).decode() if encoding == "base64" and text is not content else clean
-                new.append(content)
+            new, encodings, paths = batch.column(at).to_pylist(), batch.column(enc).to_pylist(), batch.column(path).to_pylist()
+            texts = [decoded(c, e) for c, e in zip(new, encodings, strict=True)]
+            for k, candidates in candidate_lines(texts).items():
+                clean = redact(texts[k], paths[k] or "", candidates)
+                if clean != texts[k]:
+                    new[k] = base64.encodebytes(clean.encode()).decode() if encodings[k] == "base64" and texts[k] is not new[k] else clean
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)

@@ -75,3 +75,20 @@ def test_edges(spark):
     assert clean[1] is None and clean[2] == "" and clean[5] == "not base64 %%"
     assert C.decoded(clean[6], "base64") == 'pwd = "REDACTED"'
     assert C.find_credentials(files.limit(0), "t").count() == 0
+
+
+@pytest.mark.parametrize("lines", [30, 120])
+def test_long_value_in_pieces_is_blanked_to_its_end(lines):
+    pieces = [f"k7Xq93hdYttQm81zzT4kp{i:03}bRw5Nc0PqLs7Jf2Ve8Ux" for i in range(lines)]
+    text = "SECRET = (\n" + "".join(f'    "{p}"\n' for p in pieces) + ")\nlabel = 'Qx81!zzT4'\n"
+    clean = C.redact(text, "a.py")
+    assert not any(p in clean for p in pieces) and clean.count("\n") == text.count("\n")
+    assert clean.endswith(")\nlabel = 'Qx81!zzT4'\n") and len([s for s in C.spans(text, "a.py") if s[2] != "rest"]) == 1
+
+
+def test_far_argument_and_unclosed_brackets():
+    call = "set_password(\n" + "    user,\n" * 20 + '    "Qx81!zzT4kp",\n)\n'
+    assert [text[a:b] for text in [call] for a, b, _ in C.spans(text, "a.py")] == ["Qx81!zzT4kp"]
+    prose = "# token (see\n" + "x = 1\n" * 20 + 'y = "Qx81!zzT4kp"\n'
+    assert not C.spans(prose, "a.py")
+    assert not C.spans('# token1x (password = "of"\n' * 6_000, "a.py")  # followed to the end once, not once for each line
