@@ -37,7 +37,7 @@ from corvane.session import cores, cut, ship_package
 SHARED = 2
 #: Postings aimed at in a block, and postings after which a task hands over what it has.
 BLOCK, FLUSH = 2_500_000, 6_000_000
-#: Classes of equal records up to this size are listed pair by pair, larger ones as links to their first record.
+#: Records of equal text are listed pair by pair up to this number, more of them as links to their first record.
 PAIRED_COPIES = 64
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -196,7 +196,8 @@ def _poster(width: int, least_words: int, blocks: int) -> Callable:
                             seen.add(key)
                             fresh[k] = True
                         signed = key - (1 << 64) if key >> 63 else key
-                        rows.append((key % blocks, 0, tag, ids[part[int(doc[first])]], signed, n, None))
+                        at = part[int(doc[first])]
+                        rows.append((key % blocks, 0, tag, ids[at], signed, n, xxhash.xxh3_64_digest(texts[at].encode())))
                     yield _rows(rows)
                     take = np.repeat(fresh, sizes)
                     held_gram.append(gram[take])
@@ -407,7 +408,7 @@ def _verifier(width: int, least_words: int) -> Callable:
 
 
 def similar_classes(records: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (tbl, id, class, n) of each record with n-grams; links (a, b, similarity) between classes.
+    """(members, links): members (tbl, id, class, n, text) of each record with n-grams, text as its hash; links (a, b, similarity) between classes.
 
     ``records`` has tbl, id, content. Records of equal n-gram sets share a class; records of different ``tbl`` never link.
     NULL, empty and short contents have no class. A redelivered key stands once in members.
@@ -423,7 +424,8 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, width: int = 5,
     spread = lambda df: df.repartition(blocks, "block").sortWithinPartitions("block")
     counted = spread(posted).mapInArrow(_counter(blocks), _ROW_DDL)
     kept = cut(spread(counted).mapInArrow(_prefixer(threshold, blocks), _ROW_DDL))
-    members = kept.where("kind = 0").select("tbl", "id", "class", "n").distinct()
+    digest = F.conv(F.hex("payload"), 16, -10).cast("bigint")
+    members = kept.where("kind = 0").groupBy("tbl", "id", "class", "n").agg(F.min(digest).alias("text"))
     products = spread(kept.where("kind = 3")).mapInArrow(_multiplier(threshold), "a bigint, b bigint, shared bigint")
     pairs = products.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
     pairs = cut(pairs)
@@ -438,17 +440,22 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, width: int = 5,
 def similar_records(members: DataFrame, links: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b: links between records, and equal records of one class.
 
-    A class of more than ``PAIRED_COPIES`` equal records is shown by its first record: its other records are linked to
-    that one only, and so are the records of similar classes. So no group of copies is expanded into all its pairs.
+    More than ``PAIRED_COPIES`` records of one text are shown by the first: the others are linked to that one only, and so are
+    the records of other texts. So no group of copies is expanded into all its pairs; different texts are paired in full.
     """
     links = cut(links)
     linked = links.select(F.explode(F.array("a", "b")).alias("class")).distinct().withColumn("linked", F.lit(True))
-    heads = members.groupBy("class").agg(F.min("id").alias("head"), F.count("*").alias("copies")).join(linked, "class", "left").where((F.col("copies") > 1) | F.col("linked"))
-    sized = cut(members.select("tbl", "id", "class").join(heads, "class"))
-    shown = sized.where((F.col("copies") <= PAIRED_COPIES) | (F.col("id") == F.col("head"))).select("tbl", "id", "class")
-    few = sized.where(F.col("copies").between(2, PAIRED_COPIES)).select("tbl", "id", "class")
-    equal = few.select("tbl", F.col("id").alias("x"), "class").join(few.select(F.col("id").alias("y"), "class"), "class").where("x < y").select("tbl", "x", "y")
-    stars = sized.where((F.col("copies") > PAIRED_COPIES) & (F.col("id") != F.col("head"))).select("tbl", F.col("head").alias("x"), F.col("id").alias("y"))
+    heads = members.groupBy("class").agg(F.count("*").alias("copies")).join(linked, "class", "left").where((F.col("copies") > 1) | F.col("linked"))
+    sized = cut(members.select("tbl", "id", "class", "text").join(heads, "class"))
+    few = sized.where(F.col("copies") <= PAIRED_COPIES)
+    many = sized.where(F.col("copies") > PAIRED_COPIES).select("tbl", "id", "class", "text")
+    same = many.groupBy("class", "text").agg(F.min("id").alias("head"), F.count("*").alias("same"))
+    parted = many.join(same, ["class", "text"])
+    mixed = parted.where((F.col("same") <= PAIRED_COPIES) | (F.col("id") == F.col("head"))).select("tbl", "id", "class")
+    shown = few.select("tbl", "id", "class").unionByName(mixed)
+    several = few.where(F.col("copies") > 1).select("tbl", "id", "class").unionByName(mixed)
+    equal = several.select("tbl", F.col("id").alias("x"), "class").join(several.select(F.col("id").alias("y"), "class"), "class").where("x < y").select("tbl", "x", "y")
+    stars = parted.where((F.col("same") > PAIRED_COPIES) & (F.col("id") != F.col("head"))).select("tbl", F.col("head").alias("x"), F.col("id").alias("y"))
     across = (
         links.select("a", "b")
         .join(shown.select("tbl", F.col("id").alias("x"), F.col("class").alias("a")), "a")

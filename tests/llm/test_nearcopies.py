@@ -56,3 +56,14 @@ def test_hot_copies_are_linked_to_the_first(spark):
 def test_empty(spark):
     members, links = N.similar_classes(spark.createDataFrame([], "tbl string, id string, content string"))
     assert members.count() == 0 and links.count() == 0
+
+
+def test_different_texts_of_one_class_are_paired_in_full(spark):
+    words = [f"k{i}" for i in range(40)]
+    rows = [("t", f"d{i:03}", " ".join(w.upper() if i >> b & 1 else w for b, w in enumerate(words))) for i in range(1, 71)]
+    rows += [("t", f"e{i:03}", " ".join(words)) for i in range(70)] + [("t", "z", " ".join(words) + " more words here")]
+    members, links = N.similar_classes(spark.createDataFrame(rows, "tbl string, id string, content string"), 0.6, 3, 30)
+    got = [tuple(r)[1:] for r in N.similar_records(members, links).collect()]
+    shown = [f"d{i:03}" for i in range(1, 71)] + ["e000", "z"]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a in shown for b in shown if a < b} | {("e000", f"e{i:03}") for i in range(1, 70)}
