@@ -403,6 +403,14 @@ def simple_questions(spark, d):
     return r.select("id", F.explode(T.questions(F.col("content"))).alias("q")).select("id", "q.question")
 
 
+@query()
+def document_questions(spark, d):
+    """Questions by rule of all texts, whatever their line ends; no SQL, as that of ``simple_questions`` leaves texts with CR out."""
+    r = table(spark, d, "rag_documents", "id", "content").distinct()
+    plain = F.regexp_replace("content", r"\r\n?", "\n")
+    return r.select("id", F.explode(T.questions(plain)).alias("q")).select("id", "q.question")
+
+
 @query()
 def knowledge_bundle(spark, d):
     """Facts, chains, corrections and the refinement for one query, by kind: stored questions and feedback stand for them."""
