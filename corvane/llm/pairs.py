@@ -163,15 +163,16 @@ def defect(question: str | None, answer: str | None) -> str | None:
     if not core or bare.lower().strip(" .-–—\"'()[]{}<>*_") in FILLERS:
         return "empty"
     q, a = tokens(question or ""), tokens(bare)
-    if q and a and len(a) <= 3 * len(q) + 6:
+    if q and a:
         shingles = {tuple(a[i : i + 2]) for i in range(len(a) - 1)}
         held = len(shingles & ({tuple(q[i : i + 2]) for i in range(len(q) - 1)} | {(q[-1], q[0])})) / max(1, len(shingles))
+        if len(a) >= 2 * len(q) - 1 and held >= 0.85 and not set(a) - set(q):
+            return "copy"
+    if q and a and len(a) <= 3 * len(q) + 6:
         same = common(q, a)
         own = len(a) - same
         if same >= 0.8 * len(q) and (own == 0 or (held >= 0.75 and own <= 0.12 * len(a) and len(a) - len(q) < 2)):
             return "copy"
-        if len(a) >= 2 * len(q) - 1 and held >= 0.85 and not set(a) - set(q):
-            return "copy"
         if own == 0 and len(a) >= 4 and same >= 0.5 * len(q):
             return "copy"
     if refuses(bare):

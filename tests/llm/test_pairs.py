@@ -44,3 +44,8 @@ def test_table(spark):
     out = {(r.pair_id, r.defect) for r in P.find_defects(df, "t").distinct().collect()}
     assert ("1", "empty") in out and ("2", "empty") in out
     assert P.find_defects(df.limit(0), "t").count() == 0
+
+
+def test_a_question_repeated_many_times_is_a_copy():
+    question = "Which port does the cache of the worker listen on?"
+    assert P.defect(question, " ".join([question] * 6)) == "copy"
