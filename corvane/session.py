@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,10 +48,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own serves a session on one machine; on a cluster it is an error, as every executor
+    would write to a disk of its own.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(sc, "_corvane_dir", None)
         if not where:
             where = sc._corvane_dir = f"file://{tempfile.mkdtemp(prefix='corvane-shared-')}"
@@ -65,6 +72,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def small_rows(df: DataFrame, what: str, most: int = 10_000) -> list[Row]:
+    """All rows of a control table on the driver; a table of more than ``most`` rows is an error, none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} may have {most} rows at most")
+    return rows
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
