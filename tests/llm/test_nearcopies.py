@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 
@@ -45,12 +46,69 @@ def test_equals_brute_force(spark, threshold, width, least):
     assert set(got) == want and want
 
 
-def test_hot_copies_are_linked_to_the_first(spark):
+@pytest.mark.parametrize("copies", [64, 65, 1100])
+def test_copies_take_one_form_at_any_number(spark, copies):
     text = " ".join(f"k{i}" for i in range(40))
-    rows = [("t", f"{i:04}", text) for i in range(200)] + [("t", "z", text + " more words here")]
+    rows = [("t", f"{i:04}", text) for i in range(copies)] + [("t", "z", text + " more words here"), ("t", "s", "too short"), ("t", "n", None)]
     members, links = N.similar_classes(spark.createDataFrame(rows, "tbl string, id string, content string"), 0.6, 3, 30)
-    got = {tuple(r) for r in N.similar_records(members, links).collect()}
-    assert got == {("t", "0000", f"{i:04}") for i in range(1, 200)} | {("t", "0000", "z")}
+    membership, pairs = N.representatives(members, links)
+    held = {r.id: r.representative for r in membership.collect()}
+    assert held == {f"{i:04}": "0000" for i in range(copies)} | {"z": "z", "s": "s", "n": "n"}
+    assert [tuple(r)[:3] for r in pairs.collect()] == [("t", "0000", "z")]
+    every = N.similar_records(members, links)
+    assert every.count() == every.distinct().count() == copies * (copies - 1) // 2 + copies
+    assert every.where("id_b = 'z'").count() == copies
+
+
+@pytest.mark.parametrize(("threshold", "width"), [(0.6, 3), (0.5, 2), (0.3, 1)])
+def test_common_n_grams_and_low_thresholds(spark, threshold, width):
+    rng = random.Random(9)
+    stem = [f"s{i}" for i in range(12)]
+    rows = [("t", f"{i:03}", " ".join(stem + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(9))])) for i in range(150)] + [("t", f"x{i}", t) for i, t in enumerate(("a b", "a b c", "a", "b a"))]
+    df = spark.createDataFrame(rows, "tbl string, id string, content string").repartition(3)
+    sets = {i: grams(t, width)[0] for _, i, t in rows}
+    keys = sorted(k for k, g in sets.items() if g)
+    want = {(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold - 1e-12}
+    members, links = N.similar_classes(df, threshold, width)
+    assert {tuple(r)[1:] for r in N.similar_records(members, links).collect()} == want
+
+
+def test_hot_paths_in_one_process(monkeypatch):
+    """Posting, counting and multiplying with hot n-grams and tiles gives the same pairs as without."""
+    rng = random.Random(3)
+    stem = [f"s{i}" for i in range(20)]
+    texts = [" ".join(stem + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 12))]) for i in range(120)]
+
+    def through(f, batches):
+        return [r for b in f(iter(batches)) for r in b.to_pylist()]
+
+    def pairs(bits=2):
+        parts = [pa.record_batch([pa.array(["t"] * 40), pa.array([str(i) for i in range(a, a + 40)]), pa.array(texts[a : a + 40])], names=["tbl", "id", "content"]) for a in (0, 40, 80)]
+        rows = [r for p in parts for r in through(N._poster(3, 0, bits), [p])]
+        kinds = {r["kind"] for r in rows}
+        for f in (N._counter(bits), N._prefixer(0.6, bits)):
+            table = pa.Table.from_pylist(sorted(rows, key=lambda r: r["block"]), schema=N._ROW)
+            rows = through(f, table.to_batches())
+        table = pa.Table.from_pylist(sorted((r for r in rows if r["kind"] == 6), key=lambda r: r["block"]), schema=N._ROW)
+        out, tiles, counts = through(N._multiplier(0.6), table.to_batches()), 0, {}
+        for r in list(out):
+            if r["tile"] is not None:
+                tiles += 1
+                out += through(N._tiles(0.6), [pa.record_batch([pa.array([r["tile"]], pa.binary())], names=["tile"])])
+        for r in out:
+            if r["tile"] is None:
+                counts[r["a"], r["b"]] = counts.get((r["a"], r["b"]), 0) + r["shared"]
+        return counts, kinds, tiles
+
+    plain, kinds, tiles = pairs()
+    assert plain and not kinds & {3, 4} and not tiles
+    monkeypatch.setattr(N, "HOT", 25)
+    monkeypatch.setattr(N, "COLUMN", 9)
+    hot, kinds, tiles = pairs()
+    assert {3, 4} <= kinds and tiles
+    sets = [grams(t, 3)[0] for t in texts]
+    wanted = sum(len(a & b) / len(a | b) >= 0.6 and a != b for i, a in enumerate({frozenset(s) for s in sets}) for b in list({frozenset(s) for s in sets})[i + 1 :])
+    assert len([1 for n in hot.values() if n >= 2]) >= wanted <= len([1 for n in plain.values() if n >= 2])
 
 
 def test_empty(spark):
@@ -64,6 +122,5 @@ def test_different_texts_of_one_class_are_paired_in_full(spark):
     rows += [("t", f"e{i:03}", " ".join(words)) for i in range(70)] + [("t", "z", " ".join(words) + " more words here")]
     members, links = N.similar_classes(spark.createDataFrame(rows, "tbl string, id string, content string"), 0.6, 3, 30)
     got = [tuple(r)[1:] for r in N.similar_records(members, links).collect()]
-    shown = [f"d{i:03}" for i in range(1, 71)] + ["e000", "z"]
-    assert len(got) == len(set(got))
-    assert set(got) == {(a, b) for a in shown for b in shown if a < b} | {("e000", f"e{i:03}") for i in range(1, 70)}
+    shown = [r[1] for r in rows]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in shown for b in shown if a < b}
