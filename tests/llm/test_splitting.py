@@ -1,8 +1,12 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corvane.llm import catalogue, checks
 from corvane.llm import splitting as X
+from tests.test_catalogue import compare
 
 
 @settings(max_examples=150, deadline=None)
@@ -60,3 +64,38 @@ def test_tables(spark):
     assert X.recut(docs.limit(0), chunks.limit(0), limits).count() == 0
     pieces = X.split_documents(docs.dropDuplicates(["id"]).withColumn("strategy", X.routed(docs["source"], docs["metadata"])), limits).collect()
     assert all(len(r.content) <= 1500 for r in pieces) and {r.document_id for r in pieces} == {"d", "g"}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab .\né語", min_size=1, max_size=700), st.integers(12, 90), st.integers(0, 12))
+def test_new_pieces_pass_the_judge(text, limit, overlap):
+    overlap = min(overlap, limit // 4)
+    pieces = X.split_points(text, limit, overlap)
+    assert not [f for f in X.piece_faults(text, [(str(i), text[a:b], a, b) for i, (a, b) in enumerate(pieces)], limit, overlap) if f[1] != "midword"]
+
+
+@pytest.mark.parametrize("body", ["word " * 2_000_000, "x" * 5_000_000, "a b. c\n" * 1_000_000, " " * 3_000_000 + "x"])
+def test_long_texts_take_linear_time(body):
+    began = time.time()
+    pieces = X.split_points(body, 900, 90)
+    assert time.time() - began < 40
+    assert pieces[-1][1] == len(body) and all(b - a <= 900 for a, b in pieces)
+
+
+def test_faults_equal_sql_on_added_cases(spark, data, tmp_path):
+    """NULL parents, unknown parents, mixed strategies within one document, NULL limits and indexes, repeated rows."""
+    text = "Word one two. " * 100
+    docs = [("d", "a.md", text), ("e", "b.py", "x = 1\n" * 400), ("n", None, None)]
+    rows = [
+        ("1", "d", text[:1000], 0, 1000, 0, "semantic"), ("2", "d", text[950:1400], 950, 1400, 1, "fixed"), ("3", "d", text[:5], 0, 5, None, "fixed"), ("4", None, "z" * 1300, 0, 5, 0, "fixed"), ("4", None, "z" * 1300, 0, 5, 0, "fixed"),
+        ("5", None, None, None, None, None, None), ("6", "gone", "abc", 0, 3, 0, "semantic"), ("7", "e", "x = 1\n" * 300, 0, 1800, 0, "ast"), ("8", "e", "x = 1\n" * 90, 1740, 2280, 1, "unknown"), ("9", "n", "", 0, 0, 0, "fixed"),
+    ]
+    write = lambda rows, ddl, name: spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "raw" / name))
+    write([(*d, {"k": "v"}) for d in docs], "id string, source string, content string, metadata map<string,string>", "rag_documents")
+    write(rows, "id string, document_id string, content string, start_char int, end_char int, chunk_index int, strategy string", "rag_chunks")
+    write([("fixed", 1200, 120), ("semantic", 900, 90), ("ast", 1500, 150), ("void", None, None)], "strategy string, max_chars int, overlap_chars int", "chunk_limits")
+    for p in (tmp_path / "raw").iterdir():
+        next(p.glob("*.parquet")).rename(tmp_path / f"{p.name}.parquet")
+    compare(spark, str(tmp_path), catalogue.QUERIES["p1_found"], checks.P1_FOUND)
+    found = {(r.chunk_id, r.fault) for r in catalogue.QUERIES["p1_found"](spark, str(tmp_path)).collect()}
+    assert {("4", "offset"), ("4", "oversize"), ("1", "oversize"), ("7", "oversize"), ("6", "offset")} <= found and ("2", "oversize") not in found
