@@ -21,8 +21,8 @@ Nothing is capped: no limit on partners, candidates or frequencies. Hot keys are
   fewer than ``HOT`` postings of one n-gram from any task;
 * a column of more than ``COLUMN`` classes is multiplied in tiles by other tasks.
 
-A block is a partition of its own, of about ``BLOCK`` postings. In the product n-grams are told apart by 33 bits or more; a
-class knows how many of its own n-grams that makes equal, and its bounds are lowered by as many, so chance can add
+A block is a partition of its own, of about ``BLOCK`` postings. In the product n-grams are told apart by their block and 24
+bits, which takes less to move; a class knows how many of its own n-grams that makes equal, and its bounds are lowered by as many, so chance can add
 candidates but lose none. Classes are told apart by 64 bits.
 """
 
@@ -46,6 +46,8 @@ BLOCK, FLUSH = 2_500_000, 6_000_000
 HOT, COLUMN = 255, 20_000
 #: Records of a class that one task pairs with a row.
 SLICE = 1024
+#: Bits that tell n-grams of one block apart.
+LOW = 24
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _U64 = np.uint64
@@ -103,14 +105,30 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return np.uint32(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def _unpack(payloads: list[bytes], *types: type) -> list[np.ndarray]:
+#: Three bytes a number, read as 32 bits.
+_U24 = np.dtype((np.uint8, (3,)))
+
+
+def _three(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+
+
+def _read(p: bytes, kind, n: int, at: int) -> np.ndarray:  # noqa: ANN001
+    if kind is not _U24:
+        return np.frombuffer(p, kind, n, at)
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :3] = np.frombuffer(p, np.uint8, 3 * n, at).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _unpack(payloads: list[bytes], *types) -> list[np.ndarray]:  # noqa: ANN002
     parts: list[list[np.ndarray]] = [[] for _ in types]
     for p in payloads:
         n, at = int(np.frombuffer(p, np.uint32, 1)[0]), 4
         for out, t in zip(parts, types, strict=True):
-            out.append(np.frombuffer(p, t, n, at))
+            out.append(_read(p, t, n, at))
             at += n * np.dtype(t).itemsize
-    return [np.concatenate(p) if p else np.empty(0, t) for p, t in zip(parts, types, strict=True)]
+    return [np.concatenate(p) if p else np.empty(0, np.uint32 if t is _U24 else t) for p, t in zip(parts, types, strict=True)]
 
 
 _ROW = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("tbl", pa.string()), ("id", pa.string()), ("class", pa.int64()), ("n", pa.int32()), ("payload", pa.binary())])
@@ -170,7 +188,7 @@ def _signed(key: int) -> int:
 
 def _poster(width: int, least_words: int, bits: int) -> Callable:
     """Step 1: texts to packed postings, sizes of classes, and one row for the class of each document (kinds 1 to 5)."""
-    blocks, shift = 1 << bits, _U64(32 - bits)
+    blocks, shift, mask = 1 << bits, _U64(64 - LOW - bits), _U64((1 << LOW) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _Hashes(), set()
@@ -179,7 +197,7 @@ def _poster(width: int, least_words: int, bits: int) -> Callable:
         held = 0
 
         def hand_over() -> pa.RecordBatch:
-            grams, classes = np.concatenate(held_gram) >> shift, np.concatenate(held_class)  # block and 32 bits more
+            grams, classes = np.concatenate(held_gram) >> shift, np.concatenate(held_class)  # block and LOW bits more
             held_gram.clear()
             held_class.clear()
             items = []
@@ -193,15 +211,15 @@ def _poster(width: int, least_words: int, bits: int) -> Callable:
                     docs, index = np.unique(classes[direct][where], return_inverse=True)
                     order = np.argsort(index, kind="stable")
                     items.append((b, 3, None, None, None, None, _pack(docs, np.bincount(index).astype(np.uint32)) + _pack(grams[direct][where][order])))
-                for b, where in _split((hot >> _U64(32)).astype(np.int64), blocks):
-                    items.append((b, 4, None, None, None, None, _pack((hot[where] & _U64(0xFFFFFFFF)).astype(np.uint32))))
+                for b, where in _split((hot >> _U64(LOW)).astype(np.int64), blocks):
+                    items.append((b, 4, None, None, None, None, _pack(_three(hot[where] & mask))))
                 grams, classes = grams[~direct], classes[~direct]
-            for b, where in _split((grams >> _U64(32)).astype(np.int64), blocks):
+            for b, where in _split((grams >> _U64(LOW)).astype(np.int64), blocks):
                 docs, index = np.unique(classes[where], return_inverse=True)
                 for a in range(0, len(docs), 65536):
                     inside = (index >= a) & (index < a + 65536)
                     part, local = where[inside], (index[inside] - a).astype(np.uint16)
-                    items.append((b, 1, None, None, None, None, _pack(docs[a : a + 65536]) + _pack((grams[part] & _U64(0xFFFFFFFF)).astype(np.uint32), local)))
+                    items.append((b, 1, None, None, None, None, _pack(docs[a : a + 65536]) + _pack(_three(grams[part] & mask), local)))
             return _rows(items)
 
         for batch in batches:
@@ -261,8 +279,8 @@ def _postings(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         docs = np.frombuffer(p, _U64, n, 4)
         at = 4 + 8 * n
         m = int(np.frombuffer(p, np.uint32, 1, at)[0])
-        grams.append(np.frombuffer(p, np.uint32, m, at + 4))
-        classes.append(docs[np.frombuffer(p, np.uint16, m, at + 4 + 4 * m)])
+        grams.append(_read(p, _U24, m, at + 4))
+        classes.append(docs[np.frombuffer(p, np.uint16, m, at + 4 + 3 * m)])
     if not grams:
         return np.empty(0, np.uint32), np.empty(0, _U64)
     return np.concatenate(grams), np.concatenate(classes)
@@ -276,7 +294,7 @@ def _counter(bits: int) -> Callable:
         gram, owner = _postings(held)
         if not len(gram):
             return
-        (hot,) = _unpack(_payloads(held, 4), np.uint32)
+        (hot,) = _unpack(_payloads(held, 4), _U24)
         ordered = np.sort(gram)
         kept = np.union1d(ordered[1:][ordered[1:] == ordered[:-1]], hot)
         if not len(kept):
@@ -302,7 +320,7 @@ def _counter(bits: int) -> Callable:
         for b, where in _split((owner % _U64(blocks)).astype(np.int64), blocks):
             where = where[np.argsort(owner[where], kind="stable")]
             docs, counts = np.unique(owner[where], return_counts=True)
-            items.append((b, 2, None, None, None, block, _pack(docs, counts.astype(np.uint32)) + _pack(gram[where], often[where])))
+            items.append((b, 2, None, None, None, block, _pack(docs, counts.astype(np.uint32)) + _pack(_three(gram[where]), often[where])))
         yield _rows(items)
 
     return _by_block(step, (0, 3, 5))
@@ -318,8 +336,8 @@ def _shared(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndar
             docs, counts = _unpack([p], _U64, np.uint32)
             rest = p[4 + 12 * len(docs) :]
             if kind == 2:
-                low, f = _unpack([rest], np.uint32, np.uint8)
-                grams.append((_U64(source) << _U64(32)) | low.astype(_U64))
+                low, f = _unpack([rest], _U24, np.uint8)
+                grams.append((_U64(source) << _U64(LOW)) | low.astype(_U64))
             else:
                 grams.append(_unpack([rest], _U64)[0])
                 f = np.full(len(grams[-1]), HOT, np.uint8)
@@ -337,7 +355,7 @@ def _columns(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.nda
     parts = []
     for p in _payloads(held, 6):
         docs, sizes, counts = _unpack([p], _U64, np.uint32, np.uint32)
-        low, room = _unpack([p[4 + 16 * len(docs) :]], np.uint32, np.uint32)
+        low, room = _unpack([p[4 + 16 * len(docs) :]], _U24, np.uint32)
         parts.append((low, np.repeat(docs, counts), np.repeat(sizes, counts), room))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -364,11 +382,11 @@ def _prefixer(threshold: float, bits: int) -> Callable:
         size = np.repeat(n, counts)[take].astype(np.uint32)
         first_gram, first_owner = gram[take], owner[take]
         items = []
-        for b, where in _split((first_gram >> _U64(32)).astype(np.int64), blocks):
+        for b, where in _split((first_gram >> _U64(LOW)).astype(np.int64), blocks):
             docs, index = np.unique(first_owner[where], return_inverse=True)
             order = where[np.argsort(index, kind="stable")]
             per_doc = np.bincount(index)
-            items.append((b, 6, None, None, None, None, _pack(docs, size[order[np.cumsum(per_doc) - 1]], per_doc.astype(np.uint32)) + _pack((first_gram[order] & _U64(0xFFFFFFFF)).astype(np.uint32), room[order])))
+            items.append((b, 6, None, None, None, None, _pack(docs, size[order[np.cumsum(per_doc) - 1]], per_doc.astype(np.uint32)) + _pack(_three(first_gram[order] & _U64((1 << LOW) - 1)), room[order])))
         if items:
             yield _rows(items)
 
@@ -401,16 +419,16 @@ class _Pairs:
         a, b = a[order], b[order]
         starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         counts = np.diff(np.concatenate((starts, [len(a)])))
-        return pa.RecordBatch.from_arrays([pa.array(a[starts].view(np.int64)), pa.array(b[starts].view(np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(len(starts), pa.binary())], names=["a", "b", "shared", "tile"])
+        return pa.RecordBatch.from_arrays([pa.array(a[starts].view(np.int64)), pa.array(b[starts].view(np.int64)), pa.array(counts.astype(np.int64))], names=["a", "b", "shared"])
 
 
-_PAIRS_DDL = "a bigint, b bigint, shared bigint, tile binary"
+_PAIRS_DDL = "a bigint, b bigint, shared bigint"
 
 
-def _multiplier(threshold: float) -> Callable:
+def _multiplier(threshold: float, tiles: bool = False) -> Callable:
     """Step 4: (a, b, shared): classes in one column of a block, within the bounds, with the columns they share there.
 
-    Columns of more than ``COLUMN`` classes are given as tiles: two runs of the column, for ``_tiles`` to multiply.
+    Columns of more than ``COLUMN`` classes are left to ``_tiles``: with ``tiles``, (tile) of two runs of such a column.
     """
 
     def step(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,13 +440,15 @@ def _multiplier(threshold: float) -> Callable:
         starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         live = np.arange(len(gram))
         for s in starts[reach[starts] - starts > COLUMN].tolist():
-            runs = [slice(x, min(x + COLUMN, int(reach[s]))) for x in range(s, int(reach[s]), COLUMN)]
+            live = live[(live < s) | (live >= reach[s])]
+            runs = [slice(x, min(x + COLUMN, int(reach[s]))) for x in range(s, int(reach[s]), COLUMN)] if tiles else []
             for i, p in enumerate(runs):
                 for q in runs[i:]:
                     if size[p.stop - 1] >= threshold * size[q.start] - 1e-9:
                         body = b"".join(_pack(owner[r], size[r].astype(np.uint32), room[r].astype(np.uint32)) for r in ((p,) if p is q else (p, q)))
-                        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([0]), pa.array([body], pa.binary())], names=["a", "b", "shared", "tile"])
-            live = live[(live < s) | (live >= reach[s])]
+                        yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["tile"])
+        if tiles:
+            return
         found, step_by = _Pairs(), 1
         while True:
             live = live[live + step_by < reach[live]]
@@ -516,11 +536,9 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, width: int = 5,
     counted = spread(posted).mapInArrow(_counter(bits), _ROW_DDL)
     kept = cut(spread(counted).mapInArrow(_prefixer(threshold, bits), _ROW_DDL))
     members = kept.where("kind = 0").select("tbl", "id", "class", "n").distinct()
-    products = cut(spread(kept.where("kind = 6")).mapInArrow(_multiplier(threshold), _PAIRS_DDL))
-    tiles = products.where(F.col("tile").isNotNull()).select("tile")
-    products = products.where(F.col("tile").isNull())
-    if not tiles.isEmpty():
-        products = products.unionByName(tiles.repartition(4 * cores(spark)).mapInArrow(_tiles(threshold), _PAIRS_DDL))
+    columns = spread(kept.where("kind = 6"))
+    hot = columns.mapInArrow(_multiplier(threshold, tiles=True), "tile binary").repartition(4 * cores(spark), F.xxhash64("tile")).mapInArrow(_tiles(threshold), _PAIRS_DDL)
+    products = columns.mapInArrow(_multiplier(threshold), _PAIRS_DDL).unionByName(hot)
     pairs = cut(products.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= shared_least(threshold)).select("a", "b"))
     heads = members.groupBy("class").agg(F.min(F.struct("id", "tbl")).alias("head"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(heads, "class").select("class", "head.tbl", "head.id")

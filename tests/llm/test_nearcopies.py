@@ -90,15 +90,13 @@ def test_hot_paths_in_one_process(monkeypatch):
             table = pa.Table.from_pylist(sorted(rows, key=lambda r: r["block"]), schema=N._ROW)
             rows = through(f, table.to_batches())
         table = pa.Table.from_pylist(sorted((r for r in rows if r["kind"] == 6), key=lambda r: r["block"]), schema=N._ROW)
-        out, tiles, counts = through(N._multiplier(0.6), table.to_batches()), 0, {}
-        for r in list(out):
-            if r["tile"] is not None:
-                tiles += 1
-                out += through(N._tiles(0.6), [pa.record_batch([pa.array([r["tile"]], pa.binary())], names=["tile"])])
+        out, counts = through(N._multiplier(0.6), table.to_batches()), {}
+        tiles = through(N._multiplier(0.6, tiles=True), table.to_batches())
+        for r in tiles:
+            out += through(N._tiles(0.6), [pa.record_batch([pa.array([r["tile"]], pa.binary())], names=["tile"])])
         for r in out:
-            if r["tile"] is None:
-                counts[r["a"], r["b"]] = counts.get((r["a"], r["b"]), 0) + r["shared"]
-        return counts, kinds, tiles
+            counts[r["a"], r["b"]] = counts.get((r["a"], r["b"]), 0) + r["shared"]
+        return counts, kinds, len(tiles)
 
     plain, kinds, tiles = pairs()
     assert plain and not kinds & {3, 4} and not tiles
