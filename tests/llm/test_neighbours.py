@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from corvane.llm import neighbours as N
 
@@ -43,20 +44,68 @@ def test_empty_and_single(spark):
     assert N.nearest(spark.createDataFrame([("a", [1.0] * 8)], empty.schema), 5, 8).count() == 0
 
 
-def test_dense_files_lose_nothing():
-    """In files of several hundred vectors every list is the best of all that share a file with it."""
+def footrule(a, b):
+    """The induced footrule distance of two orders: a missing pivot stands behind the last."""
+    n = len(a)
+    at = lambda order, p: order.index(p) if p in order else n
+    return sum(abs(at(a, p) - at(b, p)) for p in set(a) | set(b))
+
+
+def test_footrule():
+    rng = np.random.default_rng(8)
+    orders = np.array([rng.permutation(14)[:8] for _ in range(60)], np.uint16)
+    for bound in (20, 40, 60, 72):
+        got = N._near(orders, 10, 40, bound)
+        assert got.tolist() == [[footrule(a, b) <= bound for b in orders.tolist()] for a in orders[10:40].tolist()]
+
+
+@pytest.mark.parametrize("bound", [None, 48])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_dense_and_split_files_lose_nothing(bound, parts):
+    """Every list is the best of all vectors that share a file and are within the footrule distance, split or not."""
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 8)).astype(np.float32)
     batch = pa.record_batch([pa.array(range(600), pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([[f"{i:03}"] for i in range(600)], pa.list_(pa.string()))], names=["class", "vector", "ids"])
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    posted = pa.Table.from_batches(list(N._post(unit[:9].astype(np.float32).tobytes(), 8)(iter([batch])))).sort_by("pivot")
+    slices = np.full(9, parts, np.int64).tobytes()
+    posted = pa.Table.from_batches(list(N._post(unit[:9].astype(np.float32).tobytes(), slices, 8, 5)(iter([batch])))).sort_by("file")
     own = np.zeros((600, 9), bool)
-    own[posted["class"].to_numpy(), posted["pivot"].to_numpy()] = True
+    own[posted["class"].to_numpy(), posted["file"].to_numpy() >> 32] = True
+    orders = {c: np.frombuffer(o, np.uint16).tolist() for c, o in zip(posted["class"].to_pylist(), posted["order"].to_pylist(), strict=True)}
     assert own.sum(axis=0).max() > 300
     got = {}
-    for out in N._rank(8, 5)(iter(posted.to_batches())):
+    for out in N._rank(slices, 8, 5, 5, bound)(iter(posted.to_batches())):
         for c, sims, ids in zip(*(col.to_pylist() for col in out.columns), strict=True):
             got.setdefault(c, []).extend(zip([-s for s in sims], ids, strict=True))
     s = np.where((own[:, None] & own[None]).any(axis=2), np.rint(unit @ unit.T * 1e6), -9e6)
-    for i in range(600):
-        assert [int(n) for _, n in sorted(got[i])[:6]] == np.argsort(-s[i], kind="stable")[:6].tolist()
+    for i in range(0, 600, 1 if bound is None else 12):
+        row = s[i] if bound is None else np.where([footrule(orders[i], orders[j]) <= bound for j in range(600)], s[i], -9e6)
+        want = [j for j in np.argsort(-row, kind="stable")[:6].tolist() if row[j] > -9e6]
+        assert [int(n) for _, n in sorted(got[i])[: len(want)]] == want
+
+
+def skewed(rng, n):
+    """Half of the vectors in one dense cluster, the others in forty, 64 wide."""
+    centres = rng.normal(size=(41, 64)) * 3
+    which = np.where(np.arange(n) % 2, 40, rng.integers(0, 40, n))
+    return (centres[which] + rng.normal(size=(n, 64)) * 0.5).astype(np.float32)
+
+
+def test_recall_at_full_width_on_skewed_data_by_the_knobs(spark):
+    rng = np.random.default_rng(5)
+    x = skewed(rng, 4000)
+    df = spark.createDataFrame([(f"{i:05}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.rint(u @ u.T * 1e6)
+    np.fill_diagonal(s, -9e6)
+    want = {f"{i:05}": {f"{j:05}" for j in np.argsort(-s[i], kind="stable")[:5]} for i in range(len(x))}
+
+    def recall(**knobs):
+        got = {}
+        for r in N.nearest(df, **knobs).collect():
+            got.setdefault(r.id, set()).add(r.neighbour)
+        return sum(len(got.get(i, set()) & w) for i, w in want.items()) / 5 / len(want)
+
+    usual, wide = recall(), recall(posted=16, footrule=None)
+    assert usual >= 0.8 and wide >= 0.98
+    assert recall(posted=64, footrule=None, pivots=64) == 1.0  # every pair meets
