@@ -6,7 +6,10 @@ password of a URL or a private key block, and is not a placeholder, reference, p
 Redaction replaces only the characters of the literal, so delimiters, escapes and line structure stay.
 
 Defined results: NULL or empty content has no findings; content that claims base64 but can't be decoded is read as it
-stands; extra columns pass through ``redact_files`` untouched.
+stands, and bytes that are no UTF-8 come back as they were; extra columns pass through ``redact_files`` untouched.
+
+Beside literals at credential names, line patterns take what no name announces: issued forms, passwords in addresses,
+command options and key blocks.
 """
 
 from __future__ import annotations
@@ -42,13 +45,14 @@ _HINT = (
     r"(?i)passw|sshpass|passphr|passcode|pwd|[_\-.]pass|\bpass\b|\bpw\b|secret|token|key|credential|creds|auth|bearer|clave|contrase|senha|mot_?de_?passe|mdp|kennwort|geheimnis|wachtwoord|parol|haslo|heslo|пароль|密码|密碼|口令|パスワード|暗証番号|비밀번호|รหัสผ่าน|पासवर्ड"
     r"|login|logon|identified|curl|://[^\s/\"'@:]*:[^\s/\"'@]+@|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|[sr]k_live_|sk_test_|AIza|eyJ|npm_|pypi-|hf_|SG\.|sk-|shpat_|dop_v1_|ya29\."
 )
-_VALUE = r"[0-9][^\s\"'`()\[\]{},;]*[A-Za-z]|[A-Za-z][^\s\"'`()\[\]{},;]*[0-9]|[A-Za-z0-9+/_-]{20}|[(\[{=:,\\+|>]\s*$|name:|key:|PRIVATE KEY|variable "
+_VALUE = r"[0-9][^\s\"'`()\[\]{},;]*\pL|\pL[^\s\"'`()\[\]{},;]*[0-9]|[A-Za-z0-9+/_-]{20}|\pL[!#$%^&*?+~@]+\pL|[(\[{=:,\\+|>]\s*$|name:|key:|PRIVATE KEY|variable |[\"'](?:[\pL0-9]+ ){3}|(?i)phrase"
 #: The forms of issued tokens.
 _ISSUED = re.compile(
     r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[\w-]{16,}|xox[abeprs]-[A-Za-z0-9-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w-]{30,}"
     r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|npm_[A-Za-z0-9]{30,}|pypi-[\w-]{30,}|hf_[A-Za-z0-9]{24,}|SG\.[\w-]{16,}\.[\w-]{16,}|sk-[A-Za-z0-9_-]{24,}|shpat_[a-f0-9]{24,}|dop_v1_[a-f0-9]{32,}|ya29\.[\w-]{20,})"
 )
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_LINES = re.compile(r"(?:(?:\\[nrt]|[\s\"'+,]|//|#|\*)*[A-Za-z0-9+/=]{16,}(?![A-Za-z0-9_.(]))*")
 _URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30}://([^\s/\"'@:?#<>]{0,200}):([^\s/\"'@]{1,500})@[A-Za-z0-9\[]")
 _PARAM = re.compile(r"[?&;,\s\"']((?:[A-Za-z]{1,40}[_-]){0,6}[A-Za-z]{1,40})=([^&;\s\"'<>,)]+)")
 _SCHEME = re.compile(r"\b(?:Bearer|Basic|token|Token|ApiKey|apikey)\s+([^\s\"'<>,;]{8,})")
@@ -58,11 +62,15 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zßñçéè]+|[^\W\d_A-Za-z]+|\d+")
+#: Words that begin a placeholder if only words, or a short number, follow them.
+_STAND_INS = "your|my|insert|enter|put|replace|change|todo|tbd|fixme|example|sample|dummy|fake|placeholder|redacted|removed|masked|hidden|secret|password|none|null|nil|undefined|test"
 _PLACEHOLDER = re.compile(
-    r"^(?:your|my|insert|enter|put|replace|change|todo|tbd|fixme|example|sample|dummy|fake|placeholder|redacted|removed|masked|hidden|secret|password|none|null|nil|undefined|test)(?:[-_.]|[A-Z]|$)"
+    rf"^(?:{_STAND_INS})(?:(?:[-_. ]|(?-i:(?=[A-Z])))[-_. A-Za-z]*\d{{0,3}}[.!]?)?$"
     r"|change-?_?me|placeholder|redacted|your[_-]|_here\b|example-only|^<.*>$|^\$|^%|^\{\{|\$\{|\{\{|%\(|^\(.*\)$|^[xX*.•#?_-]+$|x{6,}|X{6,}|\*{3,}|\.\.\.|EXAMPLE",
     re.IGNORECASE,
 )
+#: A phrase of words set apart by single blanks, none of them a sentence's mark.
+_PHRASE = re.compile(r"[^\W_]+(?:[ ][^\W_]+){2,}[!#*]?")
 _UUID = re.compile(r"^\{?[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\}?$")
 _PLAIN = re.compile(
     r"^(?:[\w.-]*\.(?:py|js|ts|go|json|ya?ml|xml|txt|bin|pem|crt|key|sql|cfg|ini|toml|env|html?|css|md|log|sh)|[~./][\w./~-]*|[a-z0-9_.-]+(?:/[a-z0-9_.-]+)+|v?\d+(?:\.\d+)+\w*|\d{4}-\d\d-\d\d.*"
@@ -75,14 +83,14 @@ _DEFAULT = re.compile(r"\$\{([A-Za-z_][\w.]*)\s*:[-=?]?([^\s{}\"']+)\}")
 _OPTION = re.compile(r"(?<![\w-])--?([A-Za-z][\w-]*)[ =]+[\"']?([^\s\"'`\\]+)")
 _PAIR = re.compile(r"(?:-u|--user)[ =]+[\"']?[^\s\"':]+:([^\s\"']+)")
 _SPOKEN = re.compile(r"\b(?:login|logon|passw(?:or)?d|passphrase|credentials?|creds|pwd)\b", re.IGNORECASE)
-_SAID = re.compile(r"(?:^|[\s:=/(\"'])([A-Za-z][A-Za-z0-9]{0,60}[_.!%#*?-]?[A-Za-z]{0,60}\d[\w!%#*?.-]{0,200}[\w!%#*?])(?=[\s,;)\"']|$)")
+_SAID = re.compile(r"(?:^|[\s:=/(\"'])([A-Za-z][A-Za-z0-9]{0,60}[_.!%#*?-]?[A-Za-z]{0,60}\d(?:[\w!%#*?.-]{0,200}[\w!%#*?])?)(?=[\s,;)\"']|$)")
 
 
 def names_credential(name: str, cache: dict[str, bool] = {}) -> bool:  # noqa: B006
     """Whether an identifier, in any letter case and joining style, names a credential that it holds."""
     known = cache.get(name)
     if known is None:
-        words = [w.lower() for w in _WORDS.findall(name.lstrip("-"))]
+        words = [w.lower() for w in _WORDS.findall(re.split(r"[.:]", name.lstrip("-"))[-1])]  # what stands ahead of a dot is a place
         while words and words[-1].isdigit():
             words.pop()
         joined = "".join(words)
@@ -98,19 +106,23 @@ def names_credential(name: str, cache: dict[str, bool] = {}) -> bool:  # noqa: B
     return known
 
 
-def usable(value: str, most: int = 4000) -> bool:
-    """Whether a literal can be a live credential: mixed characters, no placeholder, reference, path or plain name."""
+def usable(value: str, name: str = "") -> bool:
+    """Whether a literal can be a live credential: mixed characters, no placeholder, reference, path or plain name.
+
+    A phrase of words counts for names that speak of one, or of four words or more with a digit among them.
+    """
     n = len(value)
-    if n < 7 or n > most or _PLACEHOLDER.search(value) or _UUID.match(value):
+    if n < 7 or _PLACEHOLDER.search(value) or _UUID.match(value):
         return False
     if any(c.isspace() for c in value):
-        return False
+        words = value.count(" ") + 1
+        return n >= 16 and _PHRASE.fullmatch(value) is not None and ("phrase" in name.lower() or (words > 3 and any(c.isdigit() for c in value) and value[0].islower()))
     letters, digits = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
     if not letters:
         return False
     if not digits:
         kinds = any(c.islower() for c in value) + any(c.isupper() for c in value) + any(not c.isalnum() and c not in "_-./:" for c in value)
-        return n >= 12 and kinds >= 2 and not _PLAIN.match(value) and len(set(value)) >= 9 and (n >= 20 or kinds == 3)
+        return n >= 12 and kinds >= 2 and not _PLAIN.match(value) and len(set(value)) >= 9 and (n >= 20 or kinds == 3) or (n >= 8 and kinds == 3 and re.search(r"[^\W\d_][!#$%^&*?+~@]+[^\W\d_]", value) is not None and len(set(value)) >= 7)
     if _PLAIN.match(value) and not re.fullmatch(r"[0-9a-f]{24,}|[0-9A-F]{24,}", value) and not (n >= 24 and re.search(r"[A-Z]", value) and re.search(r"[a-z]", value)):
         return False
     return len(set(value)) >= 5
@@ -128,6 +140,23 @@ def _body(text: str, start: int, end: int) -> tuple[int, int]:
     return start + q, end - q
 
 
+def _reach(text: str, start: int, end: int, unclosed: dict) -> int:
+    """Where tokens of a line may end: behind the line, or behind a string of several lines that it opens.
+
+    ``unclosed`` keeps the marks that nothing closes any more, so they are looked for but once.
+    """
+    reach = end
+    for mark in ("\"\"\"", "'''", "`"):
+        if mark in unclosed and unclosed[mark] <= start or text.count(mark, start, end) % 2 == 0:
+            continue
+        close = text.find(mark, end)
+        if close < 0:
+            unclosed[mark] = min(unclosed.get(mark, end), end)
+        else:
+            reach = max(reach, close + len(mark))
+    return min(len(text), reach + 1)
+
+
 def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]], unclosed: dict[int, int]) -> None:
     """Literals assigned or passed to credential names among the tokens from start, until the statement or bracket closes.
 
@@ -136,18 +165,18 @@ def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]],
     """
     holder, depth, pieces, lines, whole = "", 0, [], 0, True
     opened: list[str] = []
-    limit = min(len(text), end + 700)  # slides along with the lines, for strings that never end
+    limit = _reach(text, start, end, unclosed)  # slides along with the lines
     passed: dict[int, int] = {}
     near = False  # whether the first piece stands within ``NEAR`` lines
 
     def settle() -> None:
         """Judge the literals gathered for the current holder: as one value in pieces, else the first usable one."""
-        if len(pieces) > 1 and whole and usable("".join(text[a:b] for a, b in pieces), len(text)):
+        if len(pieces) > 1 and whole and usable("".join(text[a:b] for a, b in pieces), holder):
             for i, (a, b) in enumerate(pieces):
                 found.setdefault(a, (b, "rest" if i else "pieces"))
             return
         for a, b in pieces:
-            if usable(text[a:b]):
+            if usable(text[a:b], holder):
                 found.setdefault(a, (b, "literal"))
                 return
 
@@ -172,7 +201,7 @@ def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]],
                     break
             if at > end:
                 close = text.find("\n", at)
-                limit = min(len(text), (close if close >= 0 else len(text)) + 700)
+                limit = max(limit, _reach(text, at, close if close >= 0 else len(text), unclosed))
             continue
         if kind == "str":
             a, b = _body(text, m.start(), m.end())
@@ -225,7 +254,7 @@ def _lexical(text: str, start: int, end: int, found: dict[int, tuple[int, str]],
 
 def candidate_lines(texts: list[str]) -> dict[int, list[int]]:
     """The numbers (from 0) of the lines worth reading, by position of the text; other texts are left out."""
-    lines = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+    lines = pc.split_pattern(pa.array([_printable(t) for t in texts], pa.large_string()), "\n")
     flat = lines.flatten()
     keep = pc.and_(pc.match_substring_regex(flat, _HINT), pc.match_substring_regex(flat, _VALUE))
     hits = np.flatnonzero(keep.to_numpy(zero_copy_only=False))
@@ -266,10 +295,11 @@ def _line(text: str, start: int, end: int, line: str, config: bool, path: str, f
     if "PRIVATE KEY" in line:
         for m in _KEY_BLOCK.finditer(line):
             close = text.find("-----END", start + m.end())
-            body = text[start + m.end() : close if close >= 0 else start + m.end() + 4000]
+            if close < 0:  # a block that nothing closes ends with its last line of key material
+                close = _KEY_LINES.match(text, start + m.end()).end()
+            body = text[start + m.end() : close]
             if len(re.findall(r"[A-Za-z0-9+/]", body.replace("\\n", ""))) >= 40 and "PRIVATE KEY" not in body and len(set(body)) > 12 and "..." not in body:
-                stop = close if close >= 0 else min(len(text), start + m.end() + len(body))
-                found[start + m.start()] = (stop, "key")
+                found[start + m.start()] = (close, "key")
         if not re.search(r"(?i)passphrase|password", line):
             return
     for m in _ISSUED.finditer(line):
@@ -322,8 +352,8 @@ def _line(text: str, start: int, end: int, line: str, config: bool, path: str, f
             if after and usable(after.group(1)):
                 found.setdefault(after.start(1), (after.end(1), "setting"))
     if path.endswith((".tf", ".tfvars")) and (m := re.match(r"\s*variable\s+\"([^\"]+)\"", line)) and names_credential(m.group(1)):
-        close = text.find("\n}", end)
-        after = re.compile(r"\bdefault\s*=\s*\"([^\"]*)\"").search(text, end, close if close >= 0 else min(len(text), end + 600))
+        close = re.compile(r"\n(?:\}|variable\b)|\Z").search(text, end).start()
+        after = re.compile(r"\bdefault\s*=\s*\"([^\"]*)\"").search(text, end, close)
         if after and usable(after.group(1)):
             found.setdefault(after.start(1), (after.end(1), "fallback"))
     if any(q in line for q in "\"'`") or line.rstrip().endswith(("(", "=", "[", "\\", "{", ":")):
@@ -331,17 +361,28 @@ def _line(text: str, start: int, end: int, line: str, config: bool, path: str, f
 
 
 def decoded(content: str | None, encoding: str | None) -> str:
-    """The text of a file; base64 content is decoded (its line breaks are ignored)."""
+    """The text of a file; base64 content is decoded (its line breaks are ignored). Bytes that are no UTF-8 stand as
+    surrogates, so ``encoded`` gives them back."""
     if not content:
         return ""
     if encoding == "base64":
         try:
-            return base64.b64decode(content).decode("utf-8", "replace")
+            return base64.b64decode(content).decode("utf-8", "surrogateescape")
         except (binascii.Error, ValueError):
             return content
     return content
 
 
+def encoded(text: str) -> str:
+    """The base64 form, with line breaks, of a text that ``decoded`` gave."""
+    return base64.encodebytes(text.encode("utf-8", "surrogateescape")).decode()
+
+
+def _printable(text: str) -> str:
+    """The text with surrogates, which Arrow doesn't take, replaced one by one."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode() if any("\ud800" <= c <= "\udfff" for c in text) else text
+
+
 MASK = "REDACTED"
 
 
@@ -403,7 +444,7 @@ def redact_files(files: DataFrame) -> DataFrame:
             for k, candidates in candidate_lines(texts).items():
                 clean = redact(texts[k], paths[k] or "", candidates)
                 if clean != texts[k]:
-                    new[k] = base64.encodebytes(clean.encode()).decode() if encodings[k] == "base64" and texts[k] is not new[k] else clean
+                    new[k] = encoded(clean) if encodings[k] == "base64" and texts[k] is not new[k] else clean
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
