@@ -217,11 +217,13 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 64, posted: int = POSTE
     classes = usable.groupBy("class").agg(F.first("vector").alias("vector")).join(held, "class")
     rows = usable.count()
     wanted = min(MOST_PIVOTS, pivots or max(LEAST_PIVOTS, 1 << math.ceil(math.log2(4 * math.sqrt(max(1, rows))) - 0.5)))
-    drawn = [bytes(r[0]) for r in usable.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(wanted * SAMPLE).collect()]
+    place = F.pmod(F.xxhash64("vector"), F.lit(1 << 52))
+    share = min(1 << 52, math.ceil((wanted * SAMPLE / max(1, rows)) * (1 << 52)))
+    picked = usable.select("vector", place.alias("place")).where(F.col("place") < share).distinct()  # copies fold in each task
+    drawn = [bytes(r["vector"]) for r in sorted(picked.collect(), key=lambda r: (r["place"], bytes(r["vector"])))]
     schema = "id string, neighbour string, similarity double, rank int"
     if not drawn:
         return spark.createDataFrame([], schema)
-    drawn = list(dict.fromkeys(drawn))
     sample = _unit(drawn, width).astype(np.float32)
     chosen = sample[: max(1, min(wanted, len(drawn)))]
     length = min(max(ORDER, posted), len(chosen))
