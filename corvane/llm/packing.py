@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.session import cut, ship_package
+from corvane.session import cut, ship_package, small_rows
 
 #: Share of the capacity up to which a part is small, and groups of large parts.
 SMALL, GROUPS = 0.1, 60
-#: Slices in which parts of one size are ranked.
-SLICES = 64
+#: Parts of one size that one task ranks.
+SLICE = 100_000
 
 
 def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -62,17 +62,24 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[flo
     return float(values @ counts), counts
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """(counts by size, containers): a packing of demand by column generation, whole multiples first, then best fit."""
+def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, stalled: int = 200) -> list[tuple[np.ndarray, int]]:
+    """(counts by size, containers): a packing of demand by column generation, whole multiples first, then best fit.
+
+    Columns are generated until none improves the plan. Degenerate steps leave it as it is: after ``stalled`` of them in a
+    row the plan stands, as it is feasible at every step.
+    """
     k = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
-    for _ in range(rounds):
+    best, idle = np.inf, 0
+    while idle < stalled:
         inverse = np.linalg.inv(basis)
         duals = np.ones(k) @ inverse
         value, column = _knapsack(duals, sizes, capacity)
         if value <= 1 + 1e-7:
             break
         use, step = inverse @ demand, inverse @ column
+        idle = 0 if use.sum() < best - 1e-9 * max(1.0, abs(best) if np.isfinite(best) else 1.0) else idle + 1
+        best = min(best, use.sum())
         ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
@@ -210,8 +217,12 @@ def plan_small(histogram: dict[int, int], rooms: dict[int, int], capacity: int,
 
 
 def ranked(parts: DataFrame, *by: str) -> DataFrame:
-    """The parts with their ``rank`` (from 0) among those equal in ``by``, counted in slices and then offset."""
-    sliced = parts.withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SLICES)).cast("int"))
+    """The parts with their ``rank`` (from 0) among those equal in ``by``, counted in slices and then offset.
+
+    The slices are as many as the most frequent key needs.
+    """
+    most = parts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    sliced = parts.withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(max(1, -(-most // SLICE)))).cast("int"))
     keys = [*by, "slice"]
     counts = sliced.groupBy(*keys).agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -258,7 +269,7 @@ def pack(sized: DataFrame, capacities: DataFrame) -> DataFrame:
     """
     spark: SparkSession = sized.sparkSession
     ship_package(spark)
-    limits = {r["pack_name"]: int(r["capacity_tokens"]) for r in capacities.limit(1000).collect() if r["capacity_tokens"] and r["capacity_tokens"] > 0}
+    limits = {r["pack_name"]: int(r["capacity_tokens"]) for r in small_rows(capacities.select("pack_name", "capacity_tokens"), "pack_capacities") if r["pack_name"] is not None and r["capacity_tokens"] and r["capacity_tokens"] > 0}
     if not limits:
         return spark.createDataFrame([], "pack_name string, container bigint, doc_id bigint, part int, token_from bigint, tokens bigint")
     pairs = F.explode(F.create_map(*[x for n, c in limits.items() for x in (F.lit(n), F.lit(c))])).alias("pack_name", "capacity")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,19 +31,37 @@ def encoding(path: str):
     return _LOADED[path]
 
 
-#: Characters of one call to the tokenizer; longer texts are cut at a line or blank and their counts added.
+#: Characters of one call to the tokenizer, more where no token can end: its splitter keeps a stack that long texts exhaust.
 STRETCH = 100_000
+#: Places where a token must begin: a blank that stands alone between other characters.
+_SEAM = re.compile(r"(?<=\S)[ ](?=\S)|(?<=\S)(?=\n\S)")
+#: Runs that the splitter takes as one piece; a run of white space gives its last character to what follows.
+_SPACES = re.compile(r"(?<!\s)[ \t\r\n]{10000,}(?!\s)")
 
 
-def count(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of a text. Very long texts are counted in stretches that end ahead of a blank, where no token spans."""
-    enc, total, at = encoding(path), 0, 0
+def _stretches(text: str) -> Iterator[str]:
+    """A text cut where a token must begin, so the counts of the parts add up to that of the whole."""
+    at = 0
     while len(text) - at > STRETCH:
-        cut = max(text.rfind(" ", at + 1, at + STRETCH), text.rfind("\n", at + 1, at + STRETCH))
-        cut = at + STRETCH if cut <= at else cut
-        total += len(enc.encode_ordinary(text[at:cut]))
-        at = cut
-    return total + len(enc.encode_ordinary(text[at:]))
+        m = _SEAM.search(text, at + STRETCH)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def count(text: str, path: str = VOCABULARY) -> int:
+    """Tokens of a text, the same however long it is."""
+    enc, total = encoding(path), 0
+    for part in _stretches(text):
+        at = 0
+        for m in _SPACES.finditer(part):  # a run of white space is one piece, but for its last character ahead of others
+            end = m.end() - (m.end() < len(part))
+            total += len(enc.encode_ordinary(part[at : m.start()])) + len(enc._encode_single_piece(part[m.start() : end]))
+            at = end
+        total += len(enc.encode_ordinary(part[at:]))
+    return total
 
 
 def counted(documents: DataFrame, key: str, text: str, *keep: str, path: str = VOCABULARY) -> DataFrame:

@@ -62,3 +62,21 @@ def test_tokens(spark):
     out = {r.doc_id: r.tokens for r in T.counted(rows, "doc_id", "text").collect()}
     enc = T.encoding(T.VOCABULARY)
     assert out == {1: 0, 2: 0, 3: 2, 4: len(enc.encode_ordinary("x y " * 60_000))}
+
+
+def test_counts_of_long_texts_are_those_of_the_whole():
+    rng = random.Random(4)
+    enc = T.encoding(T.VOCABULARY)
+    body = "".join(rng.choice(["word ", "x1 ", "\n", "  \n ", "it's ", "語。", "\t", "...", "don't\n"]) for _ in range(90_000))
+    assert len(body) > 2 * T.STRETCH and T.count(body) == len(enc.encode_ordinary(body))
+    for text in ("漢字" * 120_000, "ab" * 150_000, "!" * 250_000, "1" * 250_000, "a" + " " * 20_000 + "b " + "\n" * 15_000):
+        assert T.count(text) == len(enc.encode_ordinary(text))
+    assert T.count(" " * 1_000_000 + "x") > 0  # too much white space for the splitter in one call
+
+
+def test_slices_follow_the_counts(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("id as doc_id", "0 as part", "'a' as pack_name", "cast(if(id < 400, 7, id) as bigint) as tokens")
+    for most in (100_000, 30):
+        monkeypatch.setattr(P, "SLICE", most)
+        got = P.ranked(rows, "pack_name", "tokens").collect()
+        assert sorted(r["rank"] for r in got if r.tokens == 7) == list(range(400)) and all(r["rank"] == 0 for r in got if r.tokens != 7)
