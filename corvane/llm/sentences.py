@@ -2,10 +2,13 @@
 
 Blocks come first: a fenced code block, a heading, a list item with its mark and a ``Q:`` or ``A:`` line are one unit
 each; what remains are paragraphs, in which a line break is only a blank. Inside a paragraph the sentence-break rules of
-the Unicode standard apply by character property: terminators of all scripts, closing marks that belong to the sentence
-before, no break ahead of a lower-case letter after a full stop. They are tailored by abbreviations of each language, by
-quotations and brackets within a larger sentence, by texts without capitals, by missing blanks after a full stop, and by
-Thai, where a blank between Thai letters is the break.
+the Unicode standard apply by character property, read from the property tables of ``regex`` at import: the terminators of
+all scripts (Sentence_Terminal), full stops that are doubtful (Sentence_Break=ATerm), marks that continue a sentence
+(SContinue), closing marks that belong to the sentence before, and no break ahead of a lower-case letter after a full stop.
+They are tailored by abbreviations of each language, by quotations and brackets within a larger sentence, by texts without
+capitals, by missing blanks after a full stop, and by Thai, where a blank between Thai letters is the break.
+
+A word of more than ``LONGEST`` characters is no abbreviation. ``he left. she stayed.`` is one sentence by the standard.
 
 Offsets count code points. Defined results: NULL, empty and blank texts have no units.
 """
@@ -14,9 +17,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,17 +60,26 @@ _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t ]|$)")
 _BULLET = re.compile(r"[ \t]*[-*+•‣·][ \t ]+\S")
 _NUMBERED_ITEM = re.compile(r"[ \t]*(\d{1,4})[.)][ \t ]+\S")
 _DIALOGUE = re.compile(r"[ \t]*[QA][ \t ]*[:：]")
-_TERMS = ".!?…。！？｡।॥؟۔։።‼⁇⁈⁉．"
-_RUN = re.compile(f"[{_TERMS}]+")
+_PLANES = "".join(map(chr, range(0x20000)))
+#: Characters by property: what ends a sentence (with the ellipsis, which the standard leaves open), what doubtfully does, what continues it.
+_TERMS = frozenset(regex.findall(r"\p{Sentence_Terminal}", _PLANES)) | {"…"}
+_DOUBTFUL = frozenset(regex.findall(r"\p{Sentence_Break=ATerm}", _PLANES)) | {"…"}
+_CONTINUES = frozenset(regex.findall(r"[\p{Sentence_Break=SContinue}--[\p{Pd}]]", _PLANES, flags=regex.V1)) | {";", "，"}
+#: Brackets: an opening mark and the closing mark next to it in the standard.
+_BRACKETS = {a: b for a, b in zip(_PLANES, _PLANES[1:], strict=False) if unicodedata.category(a) == "Ps" and unicodedata.category(b) == "Pe"}
+_RUN = re.compile(f"[{re.escape(''.join(sorted(_TERMS)))}]+")
 _SKIP = re.compile(r"`[^`\n]*(?:\n[^`\n]+)?`|(?:https?|ftp)://[^\s<>\"«»“”]*[^\s<>\"«»“”.,;:!?)\]]|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}\.[\w.]{1,64}\w")
-_PAIRS = {"(": ")", "[": "]", "（": "）", "【": "】", "「": "」", "『": "』", "«": "»", "“": "”", "《": "》"}
-_MARKS = re.compile(r"[\"“”„«»「」『』()\[\]（）【】《》]")
+_PAIRS = {a: b for a, b in _BRACKETS.items() if a not in "{‚„"} | {"[": "]", "（": "）", "«": "»", "“": "”"}
+_CLOSERS = frozenset(_PAIRS.values())
+_OPENS = {b: a for a, b in _PAIRS.items()}
+_MARKS = re.compile(f"[{re.escape(''.join(sorted(_CLOSERS | set(_PAIRS) | set('„'))))}\"]")
+LONGEST = 64
 _OPENERS = "\"'“„‚‘«「『(（[【《¿¡`*_"
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _THAI = re.compile(r"[ก-ฺเ-๛]")
 _THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๛])[ \t \r\n]+(?=[ก-ฺเ-๛])")
-_WORD_BEFORE = re.compile(r"[^\s\"“”„«»(（\[]+$")
+_WORD_STOPS = frozenset("\"“”„«»(（[")
 _WORD_AFTER = re.compile(r"\.?[^\W_]+")
 
 
@@ -118,6 +132,7 @@ def _enclosed(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], l
     """Spans to pass over (code, addresses), and spans of matched quotation marks and brackets (positions of both marks)."""
     skip = [m.span() for m in _SKIP.finditer(text, start, end)]
     spans, stack, straight, k = [], [], -1, 0
+    held: Counter = Counter()  # the marks in the stack
     for m in _MARKS.finditer(text, start, end):
         i, ch = m.start(), m.group()
         while k < len(skip) and skip[k][1] <= i:
@@ -131,15 +146,17 @@ def _enclosed(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], l
                 spans.append((straight, i))
                 straight = -1
         elif ch == "“" and stack and stack[-1][0] == "„":
+            held["„"] -= 1
             spans.append((stack.pop()[1], i))
         elif ch in _PAIRS or ch == "„":
             stack.append((ch, i))
-        elif ch in ")]）】」』»”》":
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                opener = stack[depth][0]
+            held[ch] += 1
+        elif held[_OPENS[ch]] or (ch == "”" and held["„"]):
+            while True:  # marks above the one that is closed stay open
+                opener, begin = stack.pop()
+                held[opener] -= 1
                 if _PAIRS.get(opener) == ch or (opener == "„" and ch == "”"):
-                    spans.append((stack[depth][1], i))
-                    del stack[depth:]
+                    spans.append((begin, i))
                     break
     return skip, sorted(spans)
 
@@ -198,10 +215,10 @@ def _breaks(text: str, start: int, unit: int, s: int, e: int, after: int, opened
     run, nxt, spaced = text[s:e], text[rest], rest > after
     newline = spaced and ("\n" in text[after:rest] or "\r" in text[after:rest])
     dense = bool(_CJK.match(nxt)) or nxt in "「『“《"
-    strong = any(c in "!?。！？｡।॥؟۔։።‼⁇⁈⁉" for c in run)
+    strong = any(c not in _DOUBTFUL for c in run)
     dots = not strong and (len(run) > 1 or "…" in run)
     if opened >= 0:
-        if nxt in ",;:،、，;—–-" or nxt.islower() and not lower:
+        if nxt in _CONTINUES or nxt in "—–-" or nxt.islower() and not lower:
             return False
         if not spaced and (nxt.isalnum() or _DENSE.match(nxt)):
             return opened <= unit and bool(_CJK.match(nxt)) and not re.match(r"[とってのをがはにで]", nxt)
@@ -215,13 +232,13 @@ def _breaks(text: str, start: int, unit: int, s: int, e: int, after: int, opened
             return False
         return newline or not dense
     if strong:
-        if nxt in ",;:،、，":
-            return False
-        return True
+        return nxt not in _CONTINUES
     # a full stop
-    before = _WORD_BEFORE.search(text, max(start, s - 40), s)
-    word = before.group() if before else ""
-    bare = word.lstrip("([{\"'“„«").lower()
+    begin, low = s, max(start, s - LONGEST - 1)
+    while begin > low and text[begin - 1] not in _WORD_STOPS and not text[begin - 1].isspace():
+        begin -= 1
+    word = text[begin:s]
+    bare = word.lstrip("([{\"'“„«").lower() if len(word) <= LONGEST else ""
     if not word:
         return False
     if not spaced:
@@ -238,7 +255,7 @@ def _breaks(text: str, start: int, unit: int, s: int, e: int, after: int, opened
         if word[-1].isdigit() and nxt.isupper() and rest + 1 < end and text[rest + 1].islower():
             return True
         return bool(_DENSE.match(word[-1])) and bool(_DENSE.match(nxt))
-    if nxt in ",;:،、，":
+    if nxt in _CONTINUES:
         return False
     follow = _WORD_AFTER.match(text, rest)
     following = follow.group() if follow else ""

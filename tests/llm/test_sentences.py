@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from corvane.llm import sentences as S
@@ -47,3 +49,17 @@ def test_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     for r in docs:
         test_units_cover_the_text(r.text or "")
+
+
+@pytest.mark.parametrize("text", ["သူသွားတယ်။ သူမနေခဲ့တယ်။", "ᠮᠣᠩᠭᠣᠯ᠃ ᠬᠡᠯᠡ᠃", "ܫܠܡܐ܀ ܐܢܬ܀", "ሰላም ነው፧ አዎ ነው።", "ខ្ញុំទៅ។ គាត់នៅ។", "Is it so⁈ It is so﹖", "他走了｡ 她留下了｡"])
+def test_terminators_of_all_scripts(text):
+    assert len(S.units(text)) == 2
+
+
+def test_many_marks_and_long_words_take_linear_time():
+    began = time.time()
+    S.units("([{«" * 50_000 + ")" * 50_000 + ". End.")
+    S.units("a." * 200_000 + " Then. " + "b" * 500_000 + ". End here.")
+    assert time.time() - began < 20
+    deep = "He said " + "(" * 60 + "one. two" + ")" * 60 + " and left. Then more."
+    assert [deep[a:b] for a, b in S.units(deep)] == [deep[: deep.index(" Then")], "Then more."]
