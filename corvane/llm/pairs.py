@@ -1,7 +1,9 @@
 """Defective prompt and response pairs, each with the type of its defect.
 
 Prompt and response are aligned as token sequences. A copy is a response that shingle containment and the longest common
-subsequence leave without tokens of its own; a refusal is a response of which a sentence aligns with a refusal template.
+subsequence leave without tokens of its own, but for a few that announce it; a refusal is a response of which a sentence
+aligns with a refusal template, token by token, with adverbs and stated gaps between. Verbs of giving and telling refuse
+only where what they withhold is an answer, so what a program can't share is no refusal.
 Emptiness, a break before the end, and a response in another language are judged on the response's own tokens.
 At most one defect is reported, in the order empty, copy, refusal, language, truncated.
 
@@ -36,8 +38,12 @@ TEMPLATES = (
     "not something i can", "not in a position to", "this i cannot answer", "i'm afraid i can't", "i am afraid i cannot", "nothing i can say", "i have to pass on", "i'll have to pass", "i will have to pass", "i can't go into", "i cannot go into", "i can't be of help", "i'm not comfortable", "cannot be answered by me", "there is no answer i can give", "no answer from me",
     "darf ich nicht beantworten", "kann ich nicht beantworten", "möchte ich nicht beantworten", "kann ich leider nicht", "ich kann * nicht beantworten", "ich kann * nicht helfen", "kann ich * nicht helfen", "ich darf * nicht", "keine auskunft geben", "als sprachmodell", "als ki", "kann ich nichts sagen", "ich weiß * nicht", "dazu kann ich", "es tut mir leid", "ich möchte * nicht beantworten", "bleibt unbeantwortet",
     "je ne suis pas en mesure", "je ne peux pas", "je ne peux malheureusement pas", "je ne suis pas autorisé", "je préfère ne pas", "je ne dispose pas", "je ne sais pas", "en tant que modèle", "je refuse de", "je suis désolé", "je suis dans l'impossibilité", "il m'est impossible",
-    "no puedo ayudar", "no puedo responder", "no puedo dar", "no puedo proporcionar", "no puedo contestar", "no puedo hablar", "no me es posible", "como modelo de lenguaje", "no estoy autorizado", "no tengo permitido", "no se me permite", "prefiero no", "no dispongo de", "no tengo acceso", "lo siento no", "no sé la respuesta",
-    "я не могу", "не могу ответить", "не могу помочь", "я не вправе", "не имею права", "как языковая модель", "мне нельзя", "я не знаю", "не имею доступа", "вынужден отказаться", "я не буду отвечать", "не могу обсуждать", "не могу предоставить",
+    "no puedo ayudar", "no puedo responder", "no puedo dar", "no puedo proporcionar", "no puedo contestar", "no puedo hablar", "no me es posible", "como modelo de lenguaje", "no estoy autorizado", "no tengo permitido", "no se me permite", "no me está permitido", "no está permitido responder", "prefiero no", "no dispongo de", "no tengo acceso", "lo siento no", "no sé la respuesta",
+    "non posso rispondere", "non posso aiutarti", "non posso aiutare", "non posso fornire", "non sono in grado di rispondere", "non sono in grado di aiutare", "non sono autorizzato", "non mi è permesso", "preferisco non rispondere", "come modello linguistico", "mi dispiace non", "non so rispondere",
+    "não posso responder", "não posso ajudar", "não posso fornecer", "não consigo responder", "não tenho permissão", "não estou autorizado", "não tenho acesso", "prefiro não responder", "como modelo de linguagem", "lamento mas não", "desculpe mas não", "não me é permitido",
+    "ik kan * niet beantwoorden", "ik kan * niet helpen", "ik mag * niet", "als taalmodel", "ik beschik niet over", "het spijt me maar", "daar kan ik geen antwoord op geven", "ik ben niet bevoegd",
+    "nie mogę odpowiedzieć", "nie mogę pomóc", "nie mogę udzielić", "nie jestem w stanie odpowiedzieć", "nie wolno mi", "jako model językowy", "przykro mi ale nie", "odmawiam odpowiedzi",
+    "я не могу ответить", "я не могу помочь", "я не могу обсуждать", "я не могу предоставить", "я не могу дать", "я не могу говорить", "я не могу комментировать", "не могу ответить", "не могу помочь", "я не вправе", "не имею права", "как языковая модель", "мне нельзя", "я не знаю", "не имею доступа", "вынужден отказаться", "я не буду отвечать", "не могу обсуждать", "не могу предоставить",
 )
 #: Refusals in scripts without blanks, as substrings.
 UNSPACED = ("无法回答", "不能回答", "无法提供", "不能提供", "不便回答", "无法协助", "无法帮助", "不能帮助", "我不能讨论", "无权", "作为语言模型", "作为一个语言模型", "作为人工智能", "作为AI", "拒绝回答", "不予回答", "お答えできません", "答えられません", "お手伝いできません", "お応えできません", "ご回答できません", "回答できません", "回答を控え", "お答えしかねます", "言語モデルとして", "言語モデルである", "お話しできません", "提供できません", "答えることはできません", "お答えすることができません", "답변할 수 없", "도와드릴 수 없", "제공할 수 없", "언어 모델")
@@ -52,6 +58,8 @@ FUNCTION_WORDS = {
     "nl": "de het een en van is zijn in op voor met dat die wanneer waar hoe waarom niet elke tussen alleen daarna wordt werd ook aan bij".split(),
 }
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+#: Words that may announce a repeated question.
+ANNOUNCED = 5
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+", re.UNICODE)
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.DOTALL | re.MULTILINE)
 _QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|「[^」\n]{1,400}」|『[^』\n]{1,400}』|`[^`\n]*`|‘[^’\n]{1,400}’")
@@ -86,29 +94,73 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _compiled(template: str) -> str:
-    """A template as a pattern over words joined by single blanks."""
-    return r"\b" + " ".join(re.escape(w).replace("\\'", "'") for w in template.split()).replace(r"\* ", r"(?:\S+ ){0,3}?").replace(r"\*\ ", r"(?:\S+ ){0,3}?") + r"\b"
+#: Verbs whose object tells whether an answer is refused, and objects that are one.
+GIVING = frozenset("provide provided providing share give offer disclose reveal".split())
+GIVEN = frozenset("that this it these those any anything answer answers response information details detail specifics advice help assistance question questions topic topics subject matter more such further here you your opinion guidance recommendation recommendations about".split())
+#: Words that may stand between those of a template.
+BETWEEN = frozenset("really unfortunately simply currently honestly also just still sadly therefore however actually at present leider momentan derzeit einfach malheureusement pas vraiment simplement lamentablemente desgraciadamente simplemente realmente infelizmente purtroppo helaas niestety к сожалению".split())
+_BY_FIRST: dict[str, list[tuple[str, ...]]] = {}
+for _t in TEMPLATES:
+    _BY_FIRST.setdefault(_t.split()[0], []).append(tuple(_t.split()))
 
 
-_REFUSALS = re.compile("|".join(sorted(map(_compiled, TEMPLATES), key=len, reverse=True)))
-_ANCHORS = re.compile(
-    r"\bi\b|\bi'|\bme\b|\bmy\b|unanswered|limits|language model|no can do|as an ai|\bich\b|auskunft|sprachmodell|\bje\b|modèle|m'est|puedo|\bme\b|modelo|autorizado|prefiero|dispongo|tengo|siento|не могу|не вправе|не имею|модель|нельзя|не знаю|отказаться|не буду"
-)
+def aligned(words: list[str], at: int, template: tuple[str, ...]) -> int:
+    """The end of a template aligned with the words from a place on, or -1: its tokens in order, adverbs between them, and
+    up to three other words at a star."""
+    i, gap = at, 0
+    for k, t in enumerate(template):
+        if t == "*":
+            gap = 3
+            continue
+        while i < len(words) and words[i] != t and k and (gap > 0 or words[i] in BETWEEN):
+            gap -= words[i] not in BETWEEN
+            i += 1
+        if i >= len(words) or words[i] != t:
+            return -1
+        i, gap = i + 1, 0
+    return i
 
 
 def refuses(text: str) -> bool:
     """Whether a sentence, taken outside of quotations, aligns with a refusal template."""
     if any(x in text for x in UNSPACED):
         return True
-    plain = " ".join(_WORD.findall(_QUOTED.sub(" ", text.replace("’", "'")).lower()))
-    return bool(_ANCHORS.search(plain)) and _REFUSALS.search(plain) is not None
+    for sentence in _SENTENCE.findall(_QUOTED.sub(" ", text.replace("’", "'")).lower()):
+        words = _WORD.findall(sentence)
+        for at, word in enumerate(words):
+            for template in _BY_FIRST.get(word, ()):
+                end = aligned(words, at, template)
+                if end >= 0 and not (template[-1] in GIVING and end < len(words) and not GIVEN & set(words[end : end + 4])):
+                    return True
+    return False
+
+
+_HAN = re.compile(r"[\u3400-\u4dbf\u4e00-\u9fff]")
+#: Characters of Chinese that Japanese doesn't write, or not as words of their own.
+_CHINESE = frozenset("的了們们這这那个個為为么麼什吗嗎呢请請问哪怎给給没沒")
+
+
+def _chinese(text: str) -> bool:
+    """Whether Han characters without kana are Chinese: a function word, or a character that Japanese sets don't hold."""
+    for c in _HAN.findall(text):
+        if c in _CHINESE:
+            return True
+        try:
+            c.encode("shift_jis")
+        except UnicodeEncodeError:
+            return True
+    return False
 
 
 def language(text: str) -> tuple[str, int]:
     """The language of a text, as far as script and frequent words tell, and how many words say so."""
     counts = {"zh": 0, "ja": 0, "ko": 0, "ru": 0, "ar": 0, "hi": 0, "th": 0, "el": 0, "he": 0, "latin": 0}
-    for ch in text:
+    if text.isascii():
+        counts["latin"] = int(any(map(str.isalpha, text)))
+        text_ = ""
+    else:
+        text_ = text
+    for ch in text_:
         c = ord(ch)
         if c < 0x250:
             if ch.isalpha():
@@ -134,6 +186,8 @@ def language(text: str) -> tuple[str, int]:
     if counts["ja"]:
         counts["ja"] += counts["zh"]
         counts["zh"] = 0
+    elif counts["zh"] and not _chinese(text):
+        counts["zh"] = 0  # a few Han characters may be either language
     dense = {k: v * (3 if k in ("zh", "ja", "ko") else 1) for k, v in counts.items()}
     script = max(dense, key=dense.get)
     if not dense[script]:
@@ -175,6 +229,8 @@ def defect(question: str | None, answer: str | None) -> str | None:
             return "copy"
         if own == 0 and len(a) >= 4 and same >= 0.5 * len(q):
             return "copy"
+    if len(q) > 3 and len(q) <= len(a) <= len(q) + ANNOUNCED and a[-len(q) :] == q and re.match(r"[^:：\n]{1,60}[:：]", bare):
+        return "copy"  # the question behind a few words that announce it
     if refuses(bare):
         return "refusal"
     prose = _QUOTED.sub(" ", _FENCE.sub(" ", bare))

@@ -49,3 +49,30 @@ def test_table(spark):
 def test_a_question_repeated_many_times_is_a_copy():
     question = "Which port does the cache of the worker listen on?"
     assert P.defect(question, " ".join([question] * 6)) == "copy"
+
+
+@pytest.mark.parametrize("answer", ["You asked: How do I drop the view in Pixlo?", "The question was: how do I drop the view in Pixlo"])
+def test_announced_copies(answer):
+    assert P.defect("How do I drop the view in Pixlo?", answer) == "copy"
+
+
+@pytest.mark.parametrize(
+    ("question", "answer"),
+    [
+        ("¿Dónde está la pregunta frágil?", "No me está permitido responder a esta pregunta."), ("Come si apre il file di Velta?", "Mi dispiace, non posso rispondere a questa domanda."), ("Como é que o serviço abre o ficheiro?", "Infelizmente não posso responder a essa pergunta."),
+        ("Hoe wordt het bestand geopend?", "Ik kan deze vraag helaas niet beantwoorden."), ("Jak otworzyć plik?", "Niestety nie mogę odpowiedzieć na to pytanie."), ("分割方法？", "申し訳ありませんが、お答えできません。"), ("How do I open it?", "I really cannot answer this question."), ("How do I open it?", "I'm afraid I can't share any details about that."),
+    ],
+)
+def test_refusals_align_in_all_languages(question, answer):
+    assert P.defect(question, answer) == "refusal"
+
+
+@pytest.mark.parametrize(
+    ("question", "answer"),
+    [
+        ("Why is the cache local?", "I cannot share state between workers, so each one keeps a cache."), ("What happens when Junfa cannot validate it?", "The server replies that it is unable to answer, and the client cannot continue."), ("分割方法？", "ベクトルは枝を読み込みます。"),
+        ("How do I drop the view in Pixlo?", "How do I drop the view in Pixlo? Run `pixlo drop` and wait."),
+    ],
+)
+def test_sound_pairs_stay_sound(question, answer):
+    assert P.defect(question, answer) is None
