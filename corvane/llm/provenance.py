@@ -1,17 +1,23 @@
 """Files that nobody wrote by hand: generated, minified, vendored, and data kept as code.
 
-Three kinds of evidence, in one pass over whole contents and one inverted index:
-
-* token composition of the file itself (banners of generators, line lengths, counters that rise line by line, share of
-  literal data), and path and size where content is missing;
-* third-party headings and package folders;
-* exact containment: every file's windows of three successive normalised lines are posted in an inverted index; windows
-  that another repository or an upstream library also holds are the rare shared ones, and a file of which at least half
-  of the windows are so contained is a copy, patched, renamed or without its heading as it may be. Single lines recur
-  between unrelated files of one language; windows practically don't, so no cap on popularity is needed, and a library
-  that every repository bundles is still found.
-
-Defined results: rows that are no files, and empty contents, are not reported; repeated rows count once.
+1. Every file's windows of three successive normalised lines are posted in an inverted index, with the repository, whether
+   the file is marked as foreign (a package folder in its path or a third party's heading), and the package's name. An
+   upstream library posts its windows too.
+2. A window is rare if at most ``RARE`` of all repositories hold it. Evidence of copying is a window of an upstream library
+   or of a marked file in another repository, however common, and a rare window that at least ``SPREAD`` repositories
+   hold unmarked: a library that came to all of them from outside. Copying has a direction: the repository named like the
+   package is its home, and two repositories alone don't tell who copied, so their files stay.
+3. A file is a copy if evidence covers at least ``CONTAINED`` of its windows, common ones without evidence left aside: exact
+   containment, patched, renamed or without its heading as the copy may be. A file of fewer than ``FEW`` windows is one only
+   if upstream or marked evidence covers all.
+4. Token composition judges the remaining files: banners of generators, line lengths, counters that rise line by line, the
+   share of literal data; path and size where content is missing; marks of third parties.
+
+Single lines recur between unrelated files of one language; windows practically don't. Nothing caps how popular a library
+may be: a window costs one row for each repository and task.
+
+Defined results: rows that are no files, and empty contents, are not reported; repeated rows count once; a NULL repository
+is one of its own.
 """
 
 from __future__ import annotations
@@ -27,10 +33,11 @@ from pyspark.sql import functions as F
 from corvane.llm.credentials import decoded
 from corvane.session import cut, ship_package
 
-#: Lines in a window, the least characters of a window, and the least windows of a file that containment may judge.
-WINDOW, WINDOW_CHARS, LEAST_WINDOWS = 3, 36, 3
-#: The share of a file's windows found elsewhere from which it counts as a copy.
-CONTAINED = 0.5
+#: Lines in a window, the least characters of a window, and the windows below which a file must be covered wholly.
+WINDOW, WINDOW_CHARS, FEW = 3, 36, 3
+#: The share of a file's windows found elsewhere from which it counts as a copy, the share of repositories up to which a
+#: window is rare, and the repositories that tell a library from a single copy.
+CONTAINED, RARE, SPREAD = 0.5, 0.5, 3
 #: Bytes from which a file without loaded content can't be hand-written.
 HUGE = 1_000_000
 
@@ -49,6 +56,7 @@ _PACKAGES = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|s
 _MADE_PATH = re.compile(r"(?:^|/)(?:generated|__generated__|generated-sources)/|\.min\.(?:js|css)$|\.bundle\.js$|(?:_pb2|_pb2_grpc)\.py$|\.pb\.(?:go|cc|h)$|\.g\.(?:ts|dart|cs)$|\.designer\.cs$", re.IGNORECASE)
 _PACKED = re.compile(r"\.(?:js|mjs|cjs|jsx|ts|css|html?|svg)$", re.IGNORECASE)
 _MASK = re.compile(r"[A-Za-z_$]+|\d+")
+_NAME = re.compile(r"[\W_]+")
 _NUMBERS = re.compile(r"\d+")
 _DIGITS = re.compile(r"[\s\[\](){},;:.+\-0-9xXeEa-fA-FLuU]+")
 _BLOB = re.compile(r"[bBrRuU]?[\"'][A-Za-z0-9+/=\\]{40,}[\"'][,;)]?")
@@ -60,9 +68,8 @@ def composition(path: str, text: str) -> str | None:
     lines = [x for x in (line.strip() for line in text.replace("\ufeff", "").split("\n")) if x]
     if not lines:
         return None
-    for line in lines[:10]:
-        if _COMMENT.match(line) and _GENERATED.search(line) and not _BY_HAND.search(line):
-            return "generated"
+    if any(_GENERATED.search(line) and not _BY_HAND.search(line) for line in lines if _COMMENT.match(line)):
+        return "generated"
     chars = sum(map(len, lines))
     long = sum(len(x) for x in lines if len(x) > 200)
     if long > 0.5 * chars and chars > 300:
@@ -85,8 +92,23 @@ def composition(path: str, text: str) -> str | None:
         last_mask, last = mask, numbers
     if risen >= 6 and risen >= 0.5 * len(lines):
         return "generated"
-    if any(_FOREIGN.search(x) for x in lines[:8] if _COMMENT.match(x)) or _PACKAGES.search(path):
-        return "vendored"
+    return "vendored" if package(path, text) is not None else None
+
+
+def heading(text: str) -> list[str]:
+    """The comment lines ahead of a file's first statement, and those among its first eight lines."""
+    lines = [x for x in (line.strip() for line in text.replace("\ufeff", "").split("\n")) if x]
+    first = next((i for i, x in enumerate(lines) if not _COMMENT.match(x)), len(lines))
+    return [x for x in lines[: max(first, 8)] if _COMMENT.match(x)]
+
+
+def package(path: str, text: str) -> str | None:
+    """The name, letters and digits only, of the package that a marked file belongs to; None for unmarked files."""
+    m = _PACKAGES.search(path)
+    if m:
+        return _NAME.sub("", path[m.end() :].split("/")[0].split(".")[0].lower())
+    if any(_FOREIGN.search(x) for x in heading(text)):
+        return _NAME.sub("", path.rsplit("/", 1)[-1].split(".")[0].lower())
     return None
 
 
@@ -100,61 +122,88 @@ def unloaded(path: str, size: int | None) -> str | None:
 
 
 def windows(text: str) -> list[int]:
-    """Hashes (signed 64 bit) of the windows of successive lines, white space and short lines set aside."""
+    """Hashes (signed 64 bit) of the windows of successive lines, white space and short lines set aside; a text of fewer
+    lines is one window."""
     lines = [x for x in (" ".join(line.split()) for line in text.replace("\ufeff", "").split("\n")) if len(x) > 2]
     out = set()
-    for i in range(len(lines) - WINDOW + 1):
+    for i in range(max(1, len(lines) - WINDOW + 1)):
         joined = "\n".join(lines[i : i + WINDOW])
         if len(joined) >= WINDOW_CHARS + WINDOW - 1:
             out.add(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
     return list(out)
 
 
+_POSTING = "window bigint, repo bigint, upstream boolean, package string"
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(window, repo, upstream, package) of each file, a window of a repository once in each task."""
+    seen: set = set()
+    for batch in batches:
+        out: list[tuple] = []
+        for repo, upstream, name, posted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for window in posted:
+                key = (window, repo, name)
+                if key not in seen:
+                    if len(seen) > 2_000_000:
+                        seen.clear()
+                    seen.add(key)
+                    out.append((window, repo, upstream, name))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], names=["window", "repo", "upstream", "package"])
+
+
 def not_hand_written(files: DataFrame, libraries: DataFrame) -> DataFrame:
     """(file_id, verdict) of each file that is not hand-written.
 
     ``files`` has file_id, repo, path, type, size, content, encoding; ``libraries`` has library, content (upstream files).
-    The index is aggregated per window before its shuffle, so a window held by a third of all files costs one row per
-    task; the join back has unique keys on one side, and its hot keys are split by adaptive skew handling.
+    The index is counted by window with one shuffle; the join back has unique keys on one side, and its hot keys are split
+    by adaptive skew handling.
     """
     spark = files.sparkSession
     ship_package(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts, posted = [], []
-            for path, size, content, encoding in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            verdicts, names, posted = [], [], []
+            for path, size, content, encoding in zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True):
                 text = decoded(content, encoding)
-                if not text.strip():
-                    verdicts.append(None if content is not None else unloaded(path or "", size))
-                    posted.append([])
-                    continue
-                verdict = composition(path or "", text)
-                verdicts.append(verdict)
-                posted.append(windows(text) if verdict in (None, "vendored") else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.string()), pa.array(posted, pa.list_(pa.int64()))], names=["file_id", "repo", "verdict", "posted"])
-
-    schema = "file_id bigint, repo bigint, verdict string, posted array<bigint>"
+                full = bool(text.strip())
+                verdicts.append(composition(path or "", text) if full else None if content is not None else unloaded(path or "", size))
+                names.append(package(path or "", text) if full else None)
+                posted.append(windows(text) if full else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(verdicts, pa.string()), pa.array(names, pa.string()), pa.array(posted, pa.list_(pa.int64()))], names=["file_id", "repo", "home", "verdict", "package", "posted"]
+            )
+
+    schema = "file_id bigint, repo bigint, home string, verdict string, package string, posted array<bigint>"
+    home = F.lower(F.regexp_replace(F.element_at(F.split(F.coalesce("repo", F.lit("")), "/"), -1), r"[^A-Za-z0-9]+", ""))
     own = files.where(F.col("type") == "file").select(
-        F.col("file_id").cast("bigint"), F.xxhash64("repo").alias("repo"), F.col("path").cast("string"), F.col("size").cast("bigint"), F.col("content").cast("string"), F.col("encoding").cast("string")
+        F.col("file_id").cast("bigint"), F.xxhash64("repo").alias("repo"), home.alias("home"), F.col("path").cast("string"), F.col("size").cast("bigint"), F.col("content").cast("string"), F.col("encoding").cast("string")
     )
     read_files = cut(own.mapInArrow(read, schema))
-    upstream = libraries.select(F.lit(None).cast("bigint"), F.xxhash64(F.lit("upstream"), "library"), F.lit("x"), F.lit(0).cast("bigint"), F.col("content").cast("string"), F.lit("utf-8")).mapInArrow(read, schema)
-    postings = read_files.unionByName(upstream).select("repo", F.col("file_id").isNull().alias("upstream"), F.explode("posted").alias("window"))
-    shared = (
-        postings.groupBy("window")
-        .agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.max("upstream").alias("upstream"))
-        .where((F.col("low") != F.col("high")) | F.col("upstream"))
-        .select("window")
+    upstream = libraries.select(F.lit(None).cast("bigint"), F.xxhash64(F.lit("upstream"), "library"), F.lit(""), F.lit("x"), F.lit(0).cast("bigint"), F.col("content").cast("string"), F.lit("utf-8")).mapInArrow(read, schema)
+    posting = read_files.unionByName(upstream).select("repo", F.col("file_id").isNull().alias("upstream"), "package", "posted").mapInArrow(_post, _POSTING)
+    foreign = F.when(F.col("package").isNotNull(), F.col("repo"))
+    held = posting.repartition("window").groupBy("window", "repo").agg(F.max("upstream").alias("upstream"), F.min("package").alias("p"), F.max("package").alias("q"), F.min(foreign).alias("foreign"))
+    index = (
+        held.groupBy("window")
+        .agg(F.count("*").alias("repos"), F.count_if(F.col("p").isNull() & ~F.col("upstream")).alias("plain"), F.max("upstream").alias("upstream"), F.min("p").alias("p"), F.max("q").alias("q"), F.min("foreign").alias("first"), F.max("foreign").alias("last"))
+        .where((F.col("repos") > 1) | F.col("upstream"))
     )
-    open_files = read_files.where(F.col("verdict").isNull() & (F.size("posted") >= LEAST_WINDOWS))
+    repos = read_files.select("repo").distinct().count()
+    rows = read_files.where(F.size("posted") > 0).select("file_id", "repo", "home", F.size("posted").alias("n"), F.explode("posted").alias("window"))
+    elsewhere = (F.col("first") != F.col("repo")) | (F.col("last") != F.col("repo"))
+    at_home = F.col("home").contains(F.col("p")) | F.col("home").contains(F.col("q"))
+    told = F.col("upstream") | (F.coalesce(elsewhere, F.lit(False)) & ~F.coalesce(at_home, F.lit(False)))
+    rare = F.col("repos") <= max(SPREAD, RARE * repos)
+    spread = rare & (F.col("plain") >= SPREAD) & (F.col("n") >= FEW)
     copies = (
-        open_files.select("file_id", F.size("posted").alias("n"), F.explode("posted").alias("window"))
-        .join(shared, "window")
+        rows.join(index.select("window", "repos", "plain", "upstream", "p", "q", "first", "last"), "window")
         .groupBy("file_id", "n")
-        .agg(F.count_distinct("window").alias("found"))
-        .where(F.col("found") >= CONTAINED * F.col("n"))
+        .agg(F.count_if(told | spread).alias("found"), F.count_if(~told & ~rare).alias("common"))
+        .withColumn("own", F.col("n") - F.col("common"))
+        .where((F.col("found") > 0) & (F.col("found") >= F.when(F.col("own") < FEW, F.col("own")).otherwise(CONTAINED * F.col("own"))))
         .select("file_id", F.lit("vendored").alias("verdict"))
     )
     decided = read_files.where(F.col("verdict").isNotNull()).select("file_id", "verdict")
-    return decided.unionByName(copies).groupBy("file_id").agg(F.min("verdict").alias("verdict"))
+    return copies.withColumn("order", F.lit(0)).unionByName(decided.withColumn("order", F.lit(1))).groupBy("file_id").agg(F.min_by("verdict", F.struct("order", "verdict")).alias("verdict"))

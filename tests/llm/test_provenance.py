@@ -1,3 +1,4 @@
+import pytest
 from corvane.llm import provenance as P
 
 HAND = "import re\n\n\ndef move(plan, size=3):\n    if not plan:\n        raise ValueError('no plan')\n    return [x * size for x in plan]\n"
@@ -44,5 +45,34 @@ def test_containment(spark):
     files = spark.createDataFrame(rows, "file_id bigint, repo string, path string, type string, size bigint, content string, encoding string, window int")
     libraries = spark.createDataFrame([("lib", lib), ("none", None)], "library string, content string")
     out = {r.file_id: r.verdict for r in P.not_hand_written(files, libraries).collect()}
-    assert out == {1: "vendored", 2: "vendored", 3: "vendored", 7: "minified"}
+    assert out == {1: "vendored", 7: "minified"}  # two repositories alone don't tell who copied
+    third = spark.createDataFrame([(10, "o/e", "src/third.py", "file", 9, "# mine\n\n" + shared, "utf-8", 1)], files.schema)
+    out = {r.file_id: r.verdict for r in P.not_hand_written(files.unionByName(third), libraries).collect()}
+    assert out == {1: "vendored", 2: "vendored", 3: "vendored", 7: "minified", 10: "vendored"}
     assert P.not_hand_written(files.limit(0), libraries.limit(0)).count() == 0
+
+
+def test_copying_has_a_direction(spark):
+    text = body(6)
+    rows = [
+        (1, "o/velta", "src/velta.py", text), (2, "o/b", "node_modules/velta/velta.py", text), (3, "o/c", "src/renamed.py", "# tools\n" + text.replace("step_2_3", "step_9")), (4, "o/d", "src/own.py", body(7)),
+        (5, "o/e", "a.py", "x = load_the_whole_table_of_names(path)\n"), (6, "o/f", "a.py", "x = load_the_whole_table_of_names(path)\n"), (7, "o/g", "a.py", "x = load_the_whole_table_of_names(path)\n"),
+    ]
+    files = spark.createDataFrame([(i, r, p, "file", 9, t, "utf-8") for i, r, p, t in rows], "file_id bigint, repo string, path string, type string, size bigint, content string, encoding string")
+    libraries = spark.createDataFrame([("none", None)], "library string, content string")
+    out = {r.file_id for r in P.not_hand_written(files, libraries).collect()}
+    assert out == {2, 3}  # the original at home stays, and so do short files that only look alike
+    short = spark.createDataFrame([("tiny", "x = load_the_whole_table_of_names(path)\n")], "library string, content string")
+    assert {r.file_id for r in P.not_hand_written(files, short).collect()} == {2, 3, 5, 6, 7}
+
+
+@pytest.mark.parametrize("line", [1, 9, 10, 11, 13, 200])
+def test_banners_stand_anywhere(line):
+    text = "\n".join(f"value_{i * 7} = compute(item_{i}, other_{i * i})" for i in range(line - 1)) + "\n# Code generated by mkcode. DO NOT EDIT.\n" + HAND
+    assert P.composition("a.py", text) == "generated"
+
+
+@pytest.mark.parametrize("lines", [3, 7, 8, 20])
+def test_headings_are_read_to_their_end(lines):
+    text = "".join("# some text ahead\n" for _ in range(lines)) + "# Released by Velta under MIT; upstream: https://velta.example/\n" + HAND
+    assert P.composition("a.py", text) == "vendored"
