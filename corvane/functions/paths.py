@@ -79,3 +79,39 @@ def common_prefix(low: Column, high: Column) -> Column:
     upto = F.coalesce(F.get(differing, 0) - 1, F.least(F.size(a), F.size(b)))
     upto = F.when(low == high, F.size(a) - 1).otherwise(upto)
     return F.array_join(F.slice(a, F.lit(1), upto), "/")
+
+
+#: Addresses of a hosted repository, its files, their raw content and its interface.
+WEB, RAW, API = "https://github.com", "https://raw.githubusercontent.com", "https://api.github.com"
+
+
+def repository_url(owner: Column, repo: Column) -> Column:
+    return F.concat_ws("/", F.lit(WEB), owner, repo)
+
+
+def file_url(owner: Column, repo: Column, path: Column, ref: Column | str = "main", first: Column | None = None, last: Column | None = None) -> Column:
+    """The address of a file at a reference, with an anchor of lines if any are given."""
+    ref = F.lit(ref) if isinstance(ref, str) else ref
+    url = F.concat_ws("/", F.lit(WEB), owner, repo, F.lit("blob"), ref, normalised(path))
+    if first is None:
+        return url
+    anchor = F.concat(F.lit("#L"), first.cast("string"))
+    end = F.lit(None).cast("string") if last is None else F.when(last != first, F.concat(F.lit("-L"), last.cast("string")))
+    return F.concat(url, F.coalesce(F.concat(anchor, end), anchor, F.lit("")))
+
+
+def raw_url(owner: Column, repo: Column, path: Column, ref: Column | str = "main") -> Column:
+    return F.concat_ws("/", F.lit(RAW), owner, repo, F.lit(ref) if isinstance(ref, str) else ref, normalised(path))
+
+
+def api_url(owner: Column, repo: Column, *rest: Column | str) -> Column:
+    return F.concat_ws("/", F.lit(API), F.lit("repos"), owner, repo, *[F.lit(x) if isinstance(x, str) else x for x in rest])
+
+
+def normalised(path: Column) -> Column:
+    """A path with forward slashes and none at its ends."""
+    return F.regexp_replace(F.translate(path, "\\", "/"), "^/+|/+$", "")
+
+
+def is_repository(url: Column) -> Column:
+    return F.coalesce(repository(url).isNotNull(), F.lit(False))

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 
 POSITIVE, CORRECTION_CONFIDENCE = 0.6, 0.8
+#: The text of a context: its head and foot, the heads of its sections and the parts of their lines.
+CONTEXT_HEAD, CONTEXT_FOOT = "# Relevant Knowledge from Previous Sessions\n\n", "\n\n---\n"
+FACTS_HEAD = "## Previously Learned Facts\n\n"
+CORRECTIONS_HEAD = "## Important Corrections\n\n*The following are corrections from previous sessions. Use the corrected information.*\n\n"
+CHAINS_HEAD = "## Example Reasoning Patterns\n\n*Use similar step-by-step reasoning for your answer.*\n\n"
+FACT_LINE = ("• **", "**: ")
+CORRECTION_LINE = ("❌ **Previous (incorrect)**: ", "...\n✅ **Correct**: ", "\n")
+CHAIN_LINE = ("**Example Question**: ", "\n**Reasoning Steps**:\n", "\n**Answer**: ", "\n")
 
 
 def route(feedback: DataFrame) -> DataFrame:
@@ -85,14 +93,20 @@ def context(facts: DataFrame, corrected: DataFrame, chains: DataFrame, least: fl
     The inputs are the few rows retrieved for one query: facts (pos, topic, fact, confidence), corrected (pos, answer,
     correction), chains (pos, question, steps, final_answer).
     """
-    ordered = lambda line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n")
-    f = facts.where(F.col("confidence") >= least).agg(F.nullif(ordered(F.concat(F.lit("• **"), "topic", F.lit("**: "), "fact")), F.lit("")).alias("f"))
-    c = corrected.agg(F.nullif(ordered(F.concat(F.lit("❌ **Previous (incorrect)**: "), F.left("answer", F.lit(200)), F.lit("...\n✅ **Correct**: "), "correction", F.lit("\n"))), F.lit("")).alias("c"))
-    numbered = F.array_join(F.transform("steps", lambda s, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), s)), "\n")
-    r = chains.agg(F.nullif(ordered(F.concat(F.lit("**Example Question**: "), "question", F.lit("\n**Reasoning Steps**:\n"), numbered, F.lit("\n**Answer**: "), "final_answer", F.lit("\n"))), F.lit("")).alias("r"))
-    heads = (("f", "## Previously Learned Facts\n\n"), ("c", "## Important Corrections\n\n*The following are corrections from previous sessions. Use the corrected information.*\n\n"), ("r", "## Example Reasoning Patterns\n\n*Use similar step-by-step reasoning for your answer.*\n\n"))
-    body = F.concat_ws("\n\n", *[F.concat(F.lit(h), F.col(n)) for n, h in heads])
-    return f.crossJoin(c).crossJoin(r).select(F.when(body == "", "").otherwise(F.concat(F.lit("# Relevant Knowledge from Previous Sessions\n\n"), body, F.lit("\n\n---\n"))).alias("context"))  # single rows
+    def section(rows: DataFrame, head: str, name: str, *line: Column | str) -> DataFrame:
+        written = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in line])
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", written.alias("line")))), lambda x: x["line"])
+        return rows.agg(F.concat(F.lit(head), F.nullif(F.array_join(lines, "\n"), F.lit(""))).alias(name))
+
+    numbered = F.array_join(F.transform("steps", lambda step, i: F.format_string("  %d. %s", i + 1, step)), "\n")
+    parts = (
+        section(facts.where(F.col("confidence") >= least), FACTS_HEAD, "f", FACT_LINE[0], F.col("topic"), FACT_LINE[1], F.col("fact")),
+        section(corrected, CORRECTIONS_HEAD, "c", CORRECTION_LINE[0], F.left("answer", F.lit(200)), CORRECTION_LINE[1], F.col("correction"), CORRECTION_LINE[2]),
+        section(chains, CHAINS_HEAD, "r", CHAIN_LINE[0], F.col("question"), CHAIN_LINE[1], numbered, CHAIN_LINE[2], F.col("final_answer"), CHAIN_LINE[3]),
+    )
+    row = parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # single rows
+    body = F.concat_ws("\n\n", "f", "c", "r")
+    return row.select(F.when(body == "", "").otherwise(F.concat(F.lit(CONTEXT_HEAD), body, F.lit(CONTEXT_FOOT))).alias("context"))
 
 
 def relevant_facts(facts: DataFrame, topic: str | None = None, least: float = 0.3) -> DataFrame:

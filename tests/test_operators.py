@@ -70,7 +70,7 @@ def test_chunking(spark):
     assert [(k, n) for k, n, _, _ in chunking.code_blocks(SCRIPT, "javascript")] == [("function", "f"), ("function", "g"), ("class", "C")]
     for text in ("", "x" * 2048, "x" * 2049, "word " * 900, MARKDOWN * 60, PYTHON * 60):
         for how, split in chunking.STRATEGIES.items():
-            spans = split(text)
+            spans = split(text, "")
             assert all(0 <= a < b <= len(text) for a, b in spans), how
             assert bool(spans) == bool(text.strip()) or not text
             if how in ("fixed", "lines") and text:
