@@ -49,3 +49,18 @@ def improvement(scores: DataFrame, value: str, at: str) -> DataFrame:
 def durations(rows: DataFrame, group: str, value: str, passed: Column) -> DataFrame:
     """(group, runs, passed, total, mean, least, most) of durations."""
     return rows.groupBy(group).agg(F.count("*").alias("runs"), F.count_if(passed).alias("passed"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def with_model_scores(scores: DataFrame, reply: str) -> DataFrame:
+    """The scores with ``accuracy`` from a model's reply (a column with its JSON) where it holds one, else as they are."""
+    return scores.withColumn("accuracy", T.model_score(F.col(reply), F.col("accuracy")))
+
+
+def store_score(row: DataFrame, folder: str, at: Column | None = None) -> None:
+    """Append an evaluation to the table of scores; one without questions isn't stored."""
+    row.where(F.col("questions_evaluated") > 0).withColumn("created_at", F.current_timestamp() if at is None else at).write.mode("append").parquet(folder)
+
+
+def slowest(rows: DataFrame, key: str, value: str, over: float = 1.0, most: int = 5) -> DataFrame:
+    """The slowest operations above a duration."""
+    return rows.where(F.col(value) > over).orderBy(F.desc(value), key).limit(most)

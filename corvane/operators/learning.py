@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.retrieval import vector_topk
 
 POSITIVE, CORRECTION_CONFIDENCE = 0.6, 0.8
 #: The text of a context: its head and foot, the heads of its sections and the parts of their lines.
@@ -64,13 +65,45 @@ def usage_fold(events: DataFrame, key: str, order: str, helpful: Column, rate0:
 
 
 def memory_stats(facts: DataFrame, chains: DataFrame, feedback: DataFrame) -> DataFrame:
-    """One row of counts and averages; averages of nothing are 0."""
-    f = facts.agg(F.count("*").alias("facts"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("avg_confidence"))
+    """One row of counts and averages; averages of nothing are 0. facts has confidence, success_rate; chains was_correct."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    f = facts.agg(F.count("*").alias("facts"), mean("confidence").alias("avg_confidence"), mean("success_rate").alias("avg_success_rate"))
     c = chains.agg(F.count("*").alias("chains"), F.count_if("was_correct").alias("correct_chains"))
     b = feedback.agg(F.count("*").alias("feedback"))
     return f.crossJoin(c).crossJoin(b)  # single rows
 
 
+def nearest_facts(facts: DataFrame, key: str, vector: str, query: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
+    """(key, similarity, rank) of the facts of enough confidence that are most similar to the query's vector."""
+    return vector_topk(facts.where(F.col("confidence") >= least), key, vector, query, k)
+
+
+def nearest_chains(chains: DataFrame, key: str, vector: str, query: DataFrame, k: int = 3, only_correct: bool = True) -> DataFrame:
+    """(key, similarity, rank) of the reasoning chains most similar to the query's vector; by default of right ones."""
+    return vector_topk(chains.where("was_correct") if only_correct else chains, key, vector, query, k)
+
+
+def by_topic(facts: DataFrame, topic: str, order: str) -> DataFrame:
+    """(topic, facts, first, place): topics in the order in which their first fact was stored."""
+    grouped = facts.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("facts"), F.min(order).alias("first"))
+    return grouped.withColumn("place", F.row_number().over(Window.orderBy("first", "topic")))  # a row for each topic
+
+
+def refinements_leaderboard(refined: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """The refinements of most success, then of most uses."""
+    return refined.orderBy(F.desc("success_rate"), F.desc("times_applied"), key).limit(most)
+
+
+def preferences(answers: DataFrame, question: str, answer: str, rating: str) -> DataFrame:
+    """(question, chosen, rejected, margin): the best and the worst rated answer of each question, where they differ.
+
+    One pair a question, found by aggregation, so a question asked by a third of all rows gives no product of its answers.
+    """
+    rated = answers.where(F.col(rating).isNotNull() & F.col(answer).isNotNull())
+    ends = rated.groupBy(F.col(question).alias("question")).agg(F.max(F.struct(F.col(rating).alias("r"), F.col(answer).alias("a"))).alias("best"), F.min(F.struct(F.col(rating).alias("r"), F.col(answer).alias("a"))).alias("worst"))
+    return ends.where((F.col("best.r") > F.col("worst.r")) & (F.col("best.a") != F.col("worst.a"))).select("question", F.col("best.a").alias("chosen"), F.col("worst.a").alias("rejected"), F.round(F.col("best.r") - F.col("worst.r"), 6).alias("margin"))
+
+
 def corrections(feedback: DataFrame, query: str, newest: int = 100, most: int = 3) -> DataFrame:
     """Of the newest corrections those whose question holds any term of the query, the first few."""
     recent = feedback.where((F.col("feedback_type") == "correction") & F.col("correction").isNotNull()).orderBy(F.desc("created_at"), "id").limit(newest)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.session import ship_package
@@ -52,8 +54,56 @@ def embed(rows: DataFrame, text: str, embedder: Embedder, batch: int = 32) -> Da
     return rows.mapInArrow(run, f"{fields}, embedding array<float>")
 
 
-def generate(rows: DataFrame, prompt: str, providers: Sequence[Callable[[str], str | None]], retries: int = 2) -> DataFrame:
-    """The rows with ``response`` and ``provider`` (its number): the first provider that answers, each tried a few times."""
+def as_embedder(given: object) -> Embedder:
+    """An embedder from what a caller has: a function of a list, one of a single text, or an object with ``embed_batch``
+    or ``embed``."""
+    batch, single = getattr(given, "embed_batch", None), getattr(given, "embed", None)
+    if batch is not None:
+        return batch
+    call = single if single is not None else given
+
+    def run(texts: Sequence[str]) -> Sequence[Sequence[float] | None]:
+        try:
+            out = call(list(texts))
+        except (TypeError, AttributeError):  # takes one text at a time
+            return [call(t) for t in texts]
+        whole = out is not None and len(out) == len(texts) and all(v is None or hasattr(v, "__len__") for v in out)
+        return out if whole else [call(t) for t in texts]
+
+    return run
+
+
+def tokens_of(lines: Iterator[str]) -> Iterator[str]:
+    """The tokens of a streamed reply of one JSON object a line, up to the one that is ``done``; broken lines are passed over."""
+    for line in lines:
+        try:
+            part = json.loads(line)
+        except ValueError:
+            continue
+        if part.get("response"):
+            yield part["response"]
+        if part.get("done"):
+            return
+
+
+def named(models: DataFrame, name: str, words: tuple[str, ...] = ("embed", "bge", "minilm", "e5")) -> DataFrame:
+    """The models whose name holds one of the words, in any letter case."""
+    return models.where(F.lower(F.col(name)).rlike("|".join(words)))
+
+
+def recommended(models: DataFrame, category: str, most_gb: float) -> DataFrame:
+    """The models of a category that fit a size, the largest first."""
+    return models.where((F.col("category") == category) & (F.col("size_gb") <= most_gb)).orderBy(F.desc("size_gb"), "name")
+
+
+def conversation(messages: Column) -> Column:
+    """One prompt of messages (role, content) in their order."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["content"])), "\n\n")
+
+
+def generate(rows: DataFrame, prompt: str, providers: Sequence[Callable[[str], str | None]], retries: int = 2, wait: float = 0.0) -> DataFrame:
+    """The rows with ``response`` and ``provider`` (its number): the first provider that answers, each tried a few times,
+    with a pause of ``wait`` seconds that doubles after every failure."""
     ship_package(rows.sparkSession)
     at, names = rows.columns.index(prompt), [*rows.columns, "response", "provider"]
 
@@ -63,7 +113,9 @@ def generate(rows: DataFrame, prompt: str, providers: Sequence[Callable[[str], s
             for text in b.column(at).to_pylist():
                 answer, number = None, None
                 for k, call in enumerate(providers):
-                    for _ in range(retries):
+                    for attempt in range(retries):
+                        if attempt and wait:
+                            time.sleep(wait * 2 ** (attempt - 1))
                         try:
                             answer = call(text or "")
                         except Exception:  # noqa: BLE001  a provider that fails is passed over

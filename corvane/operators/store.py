@@ -90,3 +90,71 @@ def save(df: DataFrame, folder: str, partition_by: str | None = None, mode: str
     """Bulk write of a table; appended or as a new snapshot."""
     writer = df.write.mode(mode)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(folder)
+
+
+def by_key(table: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of a key; the predicate reaches the scan."""
+    return table.where(F.col(key) == F.lit(value))
+
+
+def pieces_of(chunks: DataFrame, document: object) -> DataFrame:
+    """A document's chunks in the order of their place."""
+    return by_key(chunks, "document_id", document).orderBy("start_char", "id")
+
+
+def upsert_facts(facts: DataFrame, changes: DataFrame, key: str = "id", order: str = "updated_at") -> DataFrame:
+    """Facts after changes: a stored fact takes only confidence, usage_count and success_rate of its last change."""
+    changing = ("confidence", "usage_count", "success_rate", order)
+    return upsert(facts, changes, key, order, keep=tuple(c for c in facts.columns if c not in changing))
+
+
+def ingest_summary(documents: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row: documents in total, those with text and those without (failed), chunks and questions made of them."""
+    full = F.length(F.trim(F.coalesce("content", F.lit("")))) > 0
+    d = documents.agg(F.count("*").alias("total"), F.count_if(full).alias("succeeded"), F.count_if(~full).alias("failed"))
+    return d.crossJoin(chunks.agg(F.count("*").alias("chunks"))).crossJoin(questions.agg(F.count("*").alias("questions")))  # single rows
+
+
+def cache_stats(cache: DataFrame, size: str, hit: Column) -> DataFrame:
+    """One row: entries, bytes, megabytes and the share of probes that hit."""
+    row = cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count_if(hit).alias("hits"))
+    return row.select("entries", "bytes", F.round(F.col("bytes") / float(1 << 20), 2).alias("megabytes"), F.round(F.coalesce(F.try_divide("hits", "entries"), F.lit(0.0)), 6).alias("hit_rate"))
+
+
+def with_latest(stats: DataFrame, scores: DataFrame, by: str, *values: str) -> DataFrame:
+    """The one row of counts with the values of the newest score; NULL without any."""
+    newest = scores.agg(F.max_by(F.struct(by, *values), F.col(by)).alias("r"))
+    return stats.crossJoin(newest.select(*[F.col(f"r.{v}").alias(f"latest_{v}") for v in (by, *values)]))  # single rows
+
+
+def create_tables(rows: dict[str, DataFrame], database: str, keys: dict[str, str], buckets: int = 64) -> None:
+    """Create the store's tables from (empty) frames, bucketed and sorted by their join key, so joins on it need no shuffle."""
+    for name, df in rows.items():
+        writer = df.write.mode("ignore").format("parquet")
+        if name in keys:
+            writer = writer.bucketBy(buckets, keys[name]).sortBy(keys[name])
+        writer.saveAsTable(f"{database}.{name}")
+
+
+def cache_write(entries: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Append entries to a cache in folders by the hash of their key; ``latest_by_key`` of a read gives the last written."""
+    entries.withColumn("bucket", F.pmod(F.xxhash64("cache_key"), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(folder)
+
+
+def latest_by_key(rows: DataFrame, key: str, by: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(by)).alias("r")).select("r.*")
+
+
+def health(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, rows, status): how many rows each table has; a table that can't be read is down."""
+    out = []
+    for name, df in tables.items():
+        try:
+            out.append((name, df.count(), "up"))
+        except Exception:  # noqa: BLE001  whatever the reason, the report says so
+            out.append((name, None, "down"))
+    return next(iter(tables.values())).sparkSession.createDataFrame(out, "tbl string, rows bigint, status string")
+
+
+def export_json(report: DataFrame, folder: str) -> None:
+    report.coalesce(1).write.mode("overwrite").json(folder)

@@ -190,28 +190,35 @@ def doc_page(spark, d):
     return store.page(table(spark, d, "rag_documents", "id", "created_at").distinct(), "created_at", "id", 10, 5)
 
 
-@query("""SELECT id, source, length(content)::INT AS chars, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS r FROM rag_documents) WHERE r = 1""")
+@query("""WITH f AS (SELECT id, arg_min(source, updated_at) AS source, min(updated_at) AS first, max(updated_at) AS last, any_value(length(content))::INT AS chars FROM rag_documents GROUP BY 1)
+ SELECT id, CASE WHEN hash % 3 = 0 THEN 'new' ELSE source END AS source, chars, last AS updated_at FROM (SELECT *, length(id || coalesce(source, '')) AS hash FROM f)""")
 def doc_upsert(spark, d):
-    """Redelivered rows, with a later ``updated_at``, written over the first ones."""
+    """First deliveries are stored, but for those that come new; then all rows are written over them: the newest row counts,
+    the stored source stays (a new document is marked by its change's source)."""
     t = table(spark, d, "rag_documents", "id", "source", F.length("content").alias("chars"), "updated_at")
-    return store.upsert(t.limit(0), t, "id", "updated_at", keep=("source",))
+    first = t.groupBy("id").agg(F.min_by(F.struct("source", "chars", "updated_at"), "updated_at").alias("r")).select("id", "r.*")
+    unseen = F.length(F.concat("id", F.coalesce("source", F.lit("")))) % 3 == 0
+    changes = t.join(first.where(unseen).select("id", F.lit(True).alias("unseen")), "id", "left").select("id", F.when(F.col("unseen"), "new").otherwise(F.lit("not taken over")).alias("source"), "chars", "updated_at")
+    return store.upsert(first.where(~unseen), changes, "id", "updated_at", keep=("source",))
 
 
-@query("SELECT count(*)::BIGINT AS n, count(DISTINCT id)::BIGINT AS ids FROM (SELECT DISTINCT id FROM rag_knowledge_questions)")
+@query("SELECT id, CASE WHEN bool_or(topic IS NOT NULL) THEN 'stored' ELSE 'added' END AS origin FROM rag_knowledge_questions GROUP BY 1")
 def question_insert_ignore(spark, d):
-    """Questions with a topic stored first, then all: only new ids are added."""
-    q = table(spark, d, "rag_knowledge_questions", "id", "question", "topic")
-    out = store.insert_ignore(q.where(F.col("topic").isNotNull()).dropDuplicates(["id"]), q, "id")
-    return out.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    """Questions with a topic stored first, then all: only new ids are added, stored rows stay as they are."""
+    q = table(spark, d, "rag_knowledge_questions", "id", "topic")
+    stored = q.where(F.col("topic").isNotNull()).select("id", F.lit("stored").alias("origin")).distinct()
+    return store.insert_ignore(stored, q.select("id", F.lit("added").alias("origin")), "id")
 
 
-@query("""SELECT 'chunks' AS tbl, count(*)::BIGINT AS n FROM rag_chunks c WHERE NOT EXISTS (SELECT 1 FROM rag_documents r WHERE r.id = c.document_id AND source LIKE '%README.md') UNION ALL
- SELECT 'questions', count(*) FROM rag_knowledge_questions c WHERE NOT EXISTS (SELECT 1 FROM rag_documents r WHERE r.id = c.document_id AND source LIKE '%README.md') UNION ALL SELECT 'documents', count(*) FROM rag_documents WHERE coalesce(source, '') NOT LIKE '%README.md'""")
+@query("""WITH gone AS (SELECT id FROM rag_documents WHERE source LIKE '%README.md') SELECT 'chunks' AS tbl, id, document_id FROM rag_chunks c WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.id = c.document_id)
+ UNION ALL SELECT 'questions', id, document_id FROM rag_knowledge_questions c WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.id = c.document_id) UNION ALL SELECT 'documents', id, NULL FROM rag_documents d WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.id = d.id)""")
 def doc_delete_cascade(spark, d):
+    """What is left of documents, chunks and questions when the documents of one kind are deleted."""
     docs = table(spark, d, "rag_documents", "id", "source")
-    left = store.delete_cascade(docs, "id", docs.where("source LIKE '%README.md'"), {"chunks": (table(spark, d, "rag_chunks", "document_id"), "document_id"), "questions": (table(spark, d, "rag_knowledge_questions", "document_id"), "document_id")})
-    n = lambda df, name: df.agg(F.lit(name).alias("tbl"), F.count("*").alias("n"))
-    return n(left["chunks"], "chunks").unionByName(n(left["questions"], "questions")).unionByName(n(left[""], "documents"))
+    left = store.delete_cascade(docs, "id", docs.where("source LIKE '%README.md'"), {"chunks": (table(spark, d, "rag_chunks", "id", "document_id"), "document_id"), "questions": (table(spark, d, "rag_knowledge_questions", "id", "document_id"), "document_id")})
+    rows = lambda df, name, ref: df.select(F.lit(name).alias("tbl"), "id", ref.alias("document_id"))
+    parent = F.lit(None).cast("string")
+    return rows(left["chunks"], "chunks", F.col("document_id")).unionByName(rows(left["questions"], "questions", F.col("document_id"))).unionByName(rows(left[""], "documents", parent))
 
 
 @query("""SELECT (SELECT count(*) FROM rag_documents)::BIGINT AS documents, (SELECT count(*) FROM rag_chunks)::BIGINT AS chunks, (SELECT count(embedding) FROM rag_chunks)::BIGINT AS embedded, (SELECT count(*) FROM rag_knowledge_questions)::BIGINT AS questions,
@@ -225,12 +232,12 @@ def chunk_embed_join(spark, d):
     return table(spark, d, "documents", "doc_id", "text").where(F.length("text") > 0).join(table(spark, d, "embeddings", "vec_id", "label"), F.col("doc_id") == F.col("vec_id")).select("doc_id", "label")
 
 
-@query("SELECT hit, count(*)::BIGINT AS n FROM (SELECT sha256('m:' || text) IN (SELECT sha256('m:' || text) FROM documents WHERE doc_type = 'note' AND text IS NOT NULL) AS hit FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+@query("SELECT doc_id, sha256('m:' || text) AS cache_key, sha256('m:' || text) IN (SELECT sha256('m:' || text) FROM documents WHERE doc_type = 'note' AND text IS NOT NULL) AS hit FROM documents WHERE text IS NOT NULL")
 def embed_cache_probe(spark, d):
     """Texts of notes are cached; all texts are looked up."""
-    docs = table(spark, d, "documents", "doc_type", "text").where(F.col("text").isNotNull())
+    docs = table(spark, d, "documents", "doc_id", "doc_type", "text").where(F.col("text").isNotNull())
     cache = docs.where("doc_type = 'note'").select(store.cache_key("m", F.col("text")).alias("cache_key"))
-    return store.cache_probe(docs, cache, "m", "text").groupBy("hit").agg(F.count("*").alias("n"))
+    return store.cache_probe(docs, cache, "m", "text").select("doc_id", "cache_key", "hit")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 100")
@@ -327,19 +334,20 @@ def status_counts(spark, d):
     return code.rollup(table(spark, d, "events", F.col("event_type").alias("status")), "status")
 
 
-@query("SELECT event_id, round(0.4 * value + 35 * 0.5 + 25 * 0.25, 6) AS overall FROM events")
+@query("SELECT event_id, round(0.4 * value + 35 * (event_id % 11) / 10 + 25 * (user_id % 5) / 4, 6) AS overall FROM events")
 def overall_score(spark, d):
-    return table(spark, d, "events", "event_id", F.round(T.overall_score(F.lit(0.5), F.col("value"), F.lit(0.25)), 6).alias("overall"))
+    """Events stand for evaluations of different precision, accuracy and coverage."""
+    return table(spark, d, "events", "event_id", F.round(T.overall_score(F.col("event_id") % 11 / 10, F.col("value"), F.col("user_id") % 5 / 4), 6).alias("overall"))
 
 
 # --- learning ------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT kind, count(*)::BIGINT AS n FROM (SELECT 'feedback' AS kind FROM (SELECT DISTINCT id FROM rag_user_feedback) UNION ALL SELECT 'correction' FROM (SELECT DISTINCT id FROM rag_user_feedback WHERE rating < 0 AND correction IS NOT NULL)) GROUP BY 1""")
+@query("""SELECT DISTINCT id, 'feedback' AS kind, answer AS content, rating AS confidence FROM rag_user_feedback UNION ALL SELECT DISTINCT id, 'correction', correction, 0.8 FROM rag_user_feedback WHERE rating < 0 AND correction IS NOT NULL""")
 def feedback_router(spark, d):
-    """What feedback gives to store, by kind; the extracted kinds are checked by their own queries."""
+    """What feedback gives to store: each row, and corrections; the kinds extracted from texts are held by unit tests."""
     f = table(spark, d, "rag_user_feedback", "id", "answer", "rating", "correction").dropDuplicates(["id"])
-    return learning.route(f).where(F.col("kind").isin("feedback", "correction")).groupBy("kind").agg(F.count("*").alias("n"))
+    return learning.route(f).where(F.col("kind").isin("feedback", "correction"))
 
 
 @query()
@@ -363,11 +371,11 @@ def fact_usage_fold(spark, d):
     return learning.usage_fold(e, "user_id", "ts", F.col("value") > 50)
 
 
-@query("""SELECT (SELECT count(*) FROM rag_knowledge_questions)::BIGINT AS facts, 0.5::DOUBLE AS avg_confidence, (SELECT count(*) FROM rag_user_feedback)::BIGINT AS chains, (SELECT count(*) FROM rag_user_feedback WHERE rating > 0)::BIGINT AS correct_chains, (SELECT count(*) FROM rag_user_feedback)::BIGINT AS feedback""")
+@query("""SELECT (SELECT count(*) FROM rag_knowledge_questions)::BIGINT AS facts, (SELECT round(coalesce(avg(0.1 * length(question)), 0), 6) FROM rag_knowledge_questions) AS avg_confidence, (SELECT round(coalesce(avg(CASE WHEN difficulty = 'easy' THEN 1.0 WHEN difficulty IS NOT NULL THEN 0.0 END), 0), 6) FROM rag_knowledge_questions) AS avg_success_rate, (SELECT count(*) FROM rag_user_feedback)::BIGINT AS chains, (SELECT count(*) FROM rag_user_feedback WHERE rating > 0)::BIGINT AS correct_chains, (SELECT count(*) FROM rag_user_feedback)::BIGINT AS feedback""")
 def memory_stats(spark, d):
-    """Questions stand for facts of confidence 0.5, feedback for chains."""
+    """Questions stand for facts, their length for confidence and ease for success; feedback for chains."""
     f = table(spark, d, "rag_user_feedback", (F.col("rating") > 0).alias("was_correct"))
-    return learning.memory_stats(table(spark, d, "rag_knowledge_questions", F.lit(0.5).alias("confidence")), f, f)
+    return learning.memory_stats(table(spark, d, "rag_knowledge_questions", (F.length("question") * 0.1).alias("confidence"), F.when(F.col("difficulty") == "easy", 1.0).when(F.col("difficulty").isNotNull(), 0.0).alias("success_rate")), f, f)
 
 
 @query("""SELECT count(*)::BIGINT AS processed, (count(*) FILTER (WHERE rating >= 0.6))::BIGINT AS positive, (count(*) FILTER (WHERE rating < 0 AND correction IS NOT NULL))::BIGINT AS corrected FROM rag_user_feedback""")
@@ -396,19 +404,11 @@ def reasoning_detect(spark, d):
     return a.where(F.size("steps") >= 2).select("id", F.slice("steps", 1, 5).alias("steps"), "final_answer")
 
 
-@query("""SELECT id, question FROM (SELECT id, unnest(list_concat(list_concat(list_transform(regexp_extract_all(content, '(?m)^#+[ \\t\\n\\f\\r\\v]+([^\\n]+)$', 1)[1:2], lambda h: 'What does the section ''' || h || ''' cover?'), list_transform(regexp_extract_all(content, 'def\\s+(\\w+)\\s*\\(', 1)[1:2], lambda h: 'What does the function ''' || h || ''' do?')), list_transform(regexp_extract_all(content, 'class\\s+(\\w+)', 1)[1:2], lambda h: 'What is the purpose of the class ''' || h || '''?'))[1:3]) AS question FROM (SELECT DISTINCT id, content FROM rag_documents WHERE content NOT LIKE '%' || chr(13) || '%'))""")
+@query("""SELECT id, question FROM (SELECT id, unnest(list_concat(list_concat(list_transform(regexp_extract_all(content, '(?m)^#+[ \\t\\n\\f\\r\\v]+([^\\n]+)$', 1)[1:2], lambda h: 'What does the section ''' || h || ''' cover?'), list_transform(regexp_extract_all(content, 'def\\s+(\\w+)\\s*\\(', 1)[1:2], lambda h: 'What does the function ''' || h || ''' do?')), list_transform(regexp_extract_all(content, 'class\\s+(\\w+)', 1)[1:2], lambda h: 'What is the purpose of the class ''' || h || '''?'))[1:3]) AS question FROM (SELECT DISTINCT id, regexp_replace(content, chr(13) || chr(10) || '?', chr(10), 'g') AS content FROM rag_documents))""")
 def simple_questions(spark, d):
-    """Questions by rule from headings, functions and classes, of texts with plain line ends (the two engines' ``$`` differ on others)."""
-    r = table(spark, d, "rag_documents", "id", "content").distinct().where(~F.contains("content", F.lit("\r")))
-    return r.select("id", F.explode(T.questions(F.col("content"))).alias("q")).select("id", "q.question")
-
-
-@query()
-def document_questions(spark, d):
-    """Questions by rule of all texts, whatever their line ends; no SQL, as that of ``simple_questions`` leaves texts with CR out."""
+    """Questions by rule from headings, functions and classes, of all texts, their line ends made plain first."""
     r = table(spark, d, "rag_documents", "id", "content").distinct()
-    plain = F.regexp_replace("content", r"\r\n?", "\n")
-    return r.select("id", F.explode(T.questions(plain)).alias("q")).select("id", "q.question")
+    return r.select("id", F.explode(T.questions(F.regexp_replace("content", r"\r\n?", "\n"))).alias("q")).select("id", "q.question")
 
 
 @query()
@@ -444,16 +444,20 @@ def training_pairs(spark, d):
     return learning.training_lines(f.select(F.col("question").alias("prompt"), F.col("answer").alias("completion"))).distinct()
 
 
-@query("SELECT 'chunks' AS tbl, count(*)::BIGINT AS deleted FROM rag_chunks UNION ALL SELECT 'questions', count(*) FROM rag_knowledge_questions UNION ALL SELECT 'documents', count(*) FROM rag_documents")
+@query("SELECT 'chunks' AS tbl, count(*)::BIGINT AS deleted, 0::BIGINT AS left FROM rag_chunks UNION ALL SELECT 'questions', count(*), 0 FROM rag_knowledge_questions UNION ALL SELECT 'documents', count(*), 0 FROM rag_documents")
 def clear_all(spark, d):
-    return store.clear({"chunks": table(spark, d, "rag_chunks", "id"), "questions": table(spark, d, "rag_knowledge_questions", "id"), "documents": table(spark, d, "rag_documents", "id")})
+    """The rows that clearing removes, and those left in the new snapshots."""
+    held = {"chunks": table(spark, d, "rag_chunks", "id"), "questions": table(spark, d, "rag_knowledge_questions", "id"), "documents": table(spark, d, "rag_documents", "id")}
+    return store.clear(held).join(store.clear({n: t.limit(0) for n, t in held.items()}).withColumnRenamed("deleted", "left"), "tbl")
 
 
-@query("SELECT sha2 AS id, repo, count(*)::BIGINT AS files FROM (SELECT sha256(repo) AS sha2, repo FROM github_files WHERE type = 'file' AND coalesce(size, 0) <= 100000) GROUP BY ALL")
+@query(f"""WITH x AS (SELECT *, string_split(path, '/') AS parts FROM (SELECT DISTINCT file_id, repo, path, type, size FROM github_files))
+ SELECT sha256(repo) AS id, repo, language, count(*)::BIGINT AS files FROM (SELECT repo, {language_case('path')} AS language FROM x WHERE type = 'file' AND coalesce(size, 0) <= 100000
+ AND len(list_intersect(parts[1:-2], [{values(P.EXCLUDED)}])) = 0 AND NOT regexp_matches(parts[-1], '^(?:{'|'.join(g.replace('.', '[.]').replace('*', '.*') for g in P.EXCLUDED_FILES)})$')) GROUP BY ALL""")
 def scan_summary(spark, d):
-    """Files of each repository within the scan's size, keyed by a stable id."""
-    g = table(spark, d, "github_files", "repo", "type", "size").where((F.col("type") == "file") & (F.coalesce("size", F.lit(0)) <= 100_000))
-    return g.groupBy(F.sha2("repo", 256).alias("id"), "repo").agg(F.count("*").alias("files"))
+    """Files of each repository and language that a scan takes in, keyed by a stable id."""
+    g = hosting.scan(table(spark, d, "github_files", "file_id", "repo", "path", "type", "size").distinct())
+    return g.groupBy(F.sha2("repo", 256).alias("id"), "repo", "language").agg(F.count("*").alias("files"))
 
 
 # --- text and scalars ----------------------------------------------------------------------------------------------
@@ -479,13 +483,12 @@ def json_extract(spark, d):
     return table(spark, d, "events", "event_id", "props").select("event_id", F.least(F.lit(100.0), F.greatest(F.lit(0.0), j)).alias("k"))
 
 
-@query("SELECT id, string_agg(role || ': ' || body, chr(10) || chr(10) ORDER BY turn) AS prompt FROM (SELECT DISTINCT id, 1 AS turn, 'user' AS role, question AS body FROM rag_user_feedback WHERE question IS NOT NULL UNION SELECT DISTINCT id, 2, 'assistant', answer FROM rag_user_feedback WHERE answer IS NOT NULL) GROUP BY 1")
+@query("SELECT id, 'User: ' || question || chr(10) || chr(10) || 'Assistant: ' || answer AS prompt FROM (SELECT DISTINCT id, question, answer FROM rag_user_feedback WHERE question IS NOT NULL AND answer IS NOT NULL)")
 def conversation_prompt(spark, d):
     """Feedback as conversations of two turns, as one prompt each."""
-    f = table(spark, d, "rag_user_feedback", "id", "question", "answer").distinct()
-    turns = f.select("id", F.explode(F.array(F.struct(F.lit(1).alias("turn"), F.lit("user").alias("role"), F.col("question").alias("body")), F.struct(F.lit(2).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("body")))).alias("t")).select("id", "t.*").where(F.col("body").isNotNull())
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "body"))), lambda t: F.concat(t["role"], F.lit(": "), t["body"]))
-    return turns.groupBy("id").agg(F.array_join(lines, "\n\n").alias("prompt"))
+    f = table(spark, d, "rag_user_feedback", "id", "question", "answer").where("question IS NOT NULL AND answer IS NOT NULL").distinct()
+    turn = lambda role, body: F.struct(F.lit(role).alias("role"), F.col(body).alias("content"))
+    return f.select("id", models.conversation(F.array(turn("user", "question"), turn("assistant", "answer"))).alias("prompt"))
 
 
 @query("""SELECT file_id, split_part(repo, '/', 1) AS owner, split_part(repo, '/', 2) AS name FROM (SELECT DISTINCT file_id, repo FROM github_files)""")
@@ -587,10 +590,16 @@ def token_cost(spark, d):
     return models.cost(calls, spark.createDataFrame(PRICES, "model string, price_in double, price_out double")).select("event_id", "model", "tokens_in", "tokens_out", "cost")
 
 
-@query("SELECT DISTINCT id, coalesce(nullif(trim(correction), ''), answer) AS answer FROM rag_user_feedback")
+@query("SELECT DISTINCT id, CASE WHEN contains(lower(question), 'cache') THEN 'first: ' || length(question) ELSE 'second: ' || lower(question) END AS response, CASE WHEN contains(lower(question), 'cache') THEN 0 ELSE 1 END AS provider FROM rag_user_feedback WHERE question IS NOT NULL")
 def fallback_coalesce(spark, d):
-    """The first source that gives an answer."""
-    return table(spark, d, "rag_user_feedback", "id", F.coalesce(F.nullif(F.trim("correction"), F.lit("")), "answer").alias("answer")).distinct()
+    """Two stated providers in turn: the first fails on questions without a word, the second answers those."""
+    def first(prompt: str) -> str:
+        if "cache" not in prompt.lower():
+            raise TimeoutError
+        return f"first: {len(prompt)}"
+
+    asked = table(spark, d, "rag_user_feedback", "id", "question").where("question IS NOT NULL").distinct()
+    return models.generate(asked, "question", [first, lambda prompt: f"second: {prompt.lower()}"]).select("id", "response", "provider")
 
 
 @query()
@@ -625,6 +634,6 @@ def events_session(spark, d):
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n", "total")
 
 
-@query("SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type, ts FROM events)")
+@query("SELECT DISTINCT user_id, event_type, ts FROM events")
 def events_dedup(spark, d):
-    return streams.distinct(table(spark, d, "events"), "user_id", "event_type", "ts").agg(F.count("*").alias("n"))
+    return streams.distinct(table(spark, d, "events", "user_id", "event_type", "ts"), "user_id", "event_type", "ts").select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
\ No newline at end of file

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +43,41 @@ def ingest(spark: SparkSession, root: str, patterns: tuple[str, ...] = PATTERNS)
 def ingest_text(spark: SparkSession, content: str, source: str, metadata: dict[str, str] | None = None) -> DataFrame:
     row = spark.createDataFrame([(source, content, metadata or {})], "source string, content string, metadata map<string,string>")
     return row.select(F.sha2(F.concat_ws(":", "source", "content"), 256).alias("id"), "source", "content", "metadata", F.current_timestamp().alias("created_at"))
+
+
+def single(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """One document of one file."""
+    raw = spark.read.format("binaryFile").load(path)
+    meta = F.create_map(F.lit("filename"), P.name(F.col("path")), F.lit("extension"), P.extension(F.col("path")), F.lit("size_bytes"), F.col("length").cast("string"))
+    return raw.select(F.sha2("path", 256).alias("id"), F.col("path").alias("source"), F.decode("content", encoding).alias("content"), meta.alias("metadata"), F.col("modificationTime").alias("created_at"))
+
+
+def analyses(files: DataFrame) -> DataFrame:
+    """Scanned files as rows for analysis: (path, size, language, content, file_hash)."""
+    return files.select("path", "size", P.language(F.col("path")).alias("language"), "content", F.sha2("content", 256).alias("file_hash"))
+
+
+#: Extensions of code.
+CODE = ("py", "js", "ts", "java", "go", "rs", "cpp", "c", "cs", "rb", "php")
+
+
+def code_files(files: DataFrame, most: int = 15, extensions: tuple[str, ...] = CODE) -> DataFrame:
+    """The first code files by path, in the order of their extensions, outside of excluded folders."""
+    kept = files.where(P.extension(F.col("path")).isin(*extensions) & ~P.excluded(F.col("path")))
+    return kept.orderBy("path").limit(most).orderBy(P.extension(F.col("path")), "path")  # a page of a listing
+
+
+def config(path: str | None = None, overrides: dict | None = None, prefix: str = "CORVANE_") -> dict:
+    """Settings from a JSON or YAML file, then from the environment by prefix, then from overrides; later ones win."""
+    out: dict = {}
+    if path:
+        with open(path) as f:
+            text = f.read()
+        try:
+            out = json.loads(text)
+        except ValueError:
+            import yaml  # only for files in YAML
+
+            out = yaml.safe_load(text) or {}
+    out |= {k[len(prefix) :].lower(): v for k, v in os.environ.items() if k.startswith(prefix)}
+    return out | (overrides or {})

@@ -5,9 +5,10 @@ from __future__ import annotations
 import base64
 import json
 import os
+import time
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -92,3 +93,71 @@ def scan(files: DataFrame, max_size: int = 100_000, include: tuple[str, ...] = (
 
 def encode(text: str) -> str:
     return base64.encodebytes(text.encode()).decode()
+
+
+#: What a host tells of a repository, by file of its listing: the schema of one entry.
+ABOUT = {
+    "repository": "full_name string, description string, default_branch string, stargazers_count bigint, language string",
+    "branches": "name string, protected boolean, commit struct<sha:string>",
+    "pulls": "number bigint, title string, state string, user struct<login:string>, created_at timestamp, merged_at timestamp",
+    "commits": "sha string, commit struct<message:string,author:struct<name:string,date:timestamp>>",
+}
+
+
+def about(spark: SparkSession, folder: str, what: str, most: int | None = None) -> DataFrame:
+    """(repo, ...) of the repositories whose metadata lie in a folder: ``repository``, ``branches``, ``pulls`` or ``commits``.
+
+    ``most`` keeps as many entries of a listing as one page of the host would give.
+    """
+    raw = spark.read.schema(ABOUT[what]).option("multiLine", "true").json(f"{folder}/*/*/{what}.json").withColumn("repo", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)/[^/]+$", 1))
+    if most is not None:
+        key = F.desc("number") if what == "pulls" else F.col("sha") if what == "commits" else F.col("name")
+        raw = raw.withColumn("__r", F.row_number().over(Window.partitionBy("repo").orderBy(key))).where(F.col("__r") <= min(most, 100)).drop("__r")
+    return raw
+
+
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    """(repo, language, bytes) of the repositories' languages, a map in their ``languages.json``."""
+    raw = spark.read.text(f"{folder}/*/*/languages.json", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)/[^/]+$", 1).alias("repo"), F.from_json("value", "map<string,bigint>").alias("m"))
+    return raw.select("repo", F.explode("m").alias("language", "bytes"))
+
+
+class RateLimit:
+    """The pace of calls to a host: a pause between calls, and a wait where its headers say that none are left."""
+
+    def __init__(self, spacing: float = 0.1, longest: float = 300.0, clock=time.time, sleep=time.sleep) -> None:  # noqa: ANN001
+        self.spacing, self.longest, self.clock, self.sleep = spacing, longest, clock, sleep
+        self.remaining, self.reset, self.last = None, 0.0, 0.0
+
+    def told(self, headers: dict[str, str]) -> None:
+        """Take over what the headers of a reply say."""
+        lower = {k.lower(): v for k, v in headers.items()}
+        if "x-ratelimit-remaining" in lower:
+            self.remaining = int(lower["x-ratelimit-remaining"])
+        if "x-ratelimit-reset" in lower:
+            self.reset = float(lower["x-ratelimit-reset"])
+
+    def ahead(self) -> float:
+        """Wait as long as the next call has to, and say how long that was; an error if it is too long."""
+        now = self.clock()
+        wait = max(0.0, self.last + self.spacing - now)
+        if self.remaining == 0 and self.reset > now:
+            wait = max(wait, self.reset - now)
+        if wait > self.longest:
+            raise TimeoutError(f"the host's limit is reached for {wait:.0f} s")
+        if wait:
+            self.sleep(wait)
+        self.last = self.clock()
+        return wait
+
+    def call(self, request, tries: int = 3):  # noqa: ANN001, ANN201
+        """(status, headers, body) of a request, tried again with growing pauses while the host refuses for its limit."""
+        for attempt in range(tries):
+            self.ahead()
+            status, headers, body = request()
+            self.told(headers)
+            if status not in (403, 429) and "rate limit" not in str(body).lower()[:500]:
+                break
+            if attempt + 1 < tries:
+                self.sleep(min(self.longest, 2.0**attempt))
+        return status, headers, body

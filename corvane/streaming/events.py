@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -42,35 +43,75 @@ def distinct(events: DataFrame, *keys: str, late: str = "10 minutes") -> DataFra
 def usage_stream(uses: DataFrame, key: str, order: str, helpful: str, confidence0: float = 0.5) -> DataFrame:
     """(key, usage_count, success_rate, confidence) after every batch of a stream of uses: a clamped running confidence as keyed state.
 
-    Uses of one batch are taken in order; those of later batches follow. The batch twin is ``learning.usage_fold``.
+    Uses of one batch are taken in order; those of later batches follow. Only their times and results are held, 9 bytes a
+    use. The batch twin is ``learning.usage_fold``.
     """
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, s, c = state.get if state.exists else (0, 0, confidence0)
-        for ok in pd.concat(list(frames)).sort_values(order)[helpful]:
-            n, s = n + 1, s + int(ok)
+        parts = [(f[order].to_numpy(), f[helpful].to_numpy(dtype=bool)) for f in frames]
+        at, good = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        for ok in good[np.argsort(at, kind="stable")].tolist():
+            n, s = n + 1, s + ok
             c = max(0.0, min(1.0, c + (0.05 if ok else -0.02)))
         state.update((n, s, c))
         yield pd.DataFrame({key: [k[0]], "usage_count": [n], "success_rate": [round(s / n, 6)], "confidence": [round(c, 6)]})
 
     out = f"`{key}` {dict(uses.dtypes)[key]}, usage_count bigint, success_rate double, confidence double"
-    return uses.groupBy(key).applyInPandasWithState(fold, out, "n bigint, s bigint, c double", "update", GroupStateTimeout.NoTimeout)
+    narrow = uses.select(key, order, helpful)
+    return narrow.groupBy(key).applyInPandasWithState(fold, out, "n bigint, s bigint, c double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(changes: DataFrame, folder: str, key: str, order: str, checkpoint: str, keep: tuple[str, ...] = ()):
-    """Writes a stream of changes into numbered snapshots of a table; the newest snapshot is the table.
+def _snapshots(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, list[int]]:
+    """The batches that wrote each bucket, in order, from the names of the folders ``batch=N/bucket=B`` of whole batches."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
+    fs = root.getFileSystem(conf)
+    out: dict[int, list[int]] = {}
+    for batch in fs.listStatus(root) if fs.exists(root) else []:
+        name = batch.getPath().getName()
+        if not name.startswith("batch=") or not fs.exists(path(batch.getPath(), "_SUCCESS")):
+            continue
+        number = int(name[6:])
+        if before is None or number < before:
+            for bucket in fs.listStatus(batch.getPath()):
+                if bucket.getPath().getName().startswith("bucket="):
+                    out.setdefault(int(bucket.getPath().getName()[7:]), []).append(number)
+    return {b: sorted(n) for b, n in out.items()}
 
-    A batch that is replayed after a failure writes the same snapshot again from the one before, so the result is the same.
+
+def _read(spark: SparkSession, folder: str, newest: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{folder}/batch={n}/bucket={b}" for b, n in sorted(newest.items())]) if newest else None
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table that ``upsert_stream`` keeps in a folder: the newest snapshot of every bucket; None if there is none yet."""
+    return _read(spark, folder, {b: n[-1] for b, n in _snapshots(spark, folder).items()})
+
+
+def upsert_stream(changes: DataFrame, folder: str, key: str, order: str, checkpoint: str, keep: tuple[str, ...] = (), buckets: int = 64, kept: int = 2):
+    """Writes a stream of changes into a table of buckets by the hash of the key; ``current`` reads it.
+
+    A batch rewrites, in one job, only the buckets that its keys fall in, as new snapshots beside the old, and drops all but
+    the newest ``kept`` of those buckets. A batch that is replayed after a failure starts from the snapshots before it and
+    writes the same again, so the result is the same.
     """
     spark = changes.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/v{number}"
-        narrowed = batch
-        if number:
-            base = spark.read.parquet(f"{folder}/v{number - 1}")
-        else:
-            base = batch.limit(0)
-        upsert(base, narrowed, key, order, keep).write.mode("overwrite").parquet(path)
+        place = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(place).distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return
+        older = {b: n for b, n in _snapshots(spark, folder, before=number).items() if b in touched}
+        base = _read(spark, folder, {b: n[-1] for b, n in older.items()})
+        after = upsert(batch.limit(0) if base is None else base, batch, key, order, keep).withColumn("bucket", place)
+        after.repartition(min(buckets, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={number}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for b, numbers in older.items():
+            for n in numbers[: max(0, len(numbers) - kept + 1)]:
+                fs.delete(path(f"{folder}/batch={n}/bucket={b}"), True)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

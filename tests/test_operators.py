@@ -162,8 +162,8 @@ def test_sources(spark, tmp_path):
     assert [(r.path, r.content, r.language) for r in hosting.scan(hosting.decoded(listed)).collect()] == [("a.py", "x = 1", "Python")]
 
 
-def test_document_questions_reads_every_line_end(spark, tmp_path):
+def test_simple_questions_read_every_line_end(spark, tmp_path):
     rows = [("a", "# One\r\ndef go(x):\r\n"), ("b", "# Two\rclass Old:\r"), ("c", "# Three\n"), ("d", None)]
     spark.createDataFrame(rows, "id string, content string").write.parquet(f"{tmp_path}/rag_documents.parquet")
-    got = {tuple(r) for r in catalogue.QUERIES["document_questions"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in catalogue.QUERIES["simple_questions"](spark, str(tmp_path)).collect()}
     assert got == {("a", "What does the section 'One' cover?"), ("a", "What does the function 'go' do?"), ("b", "What does the section 'Two' cover?"), ("b", "What is the purpose of the class 'Old'?"), ("c", "What does the section 'Three' cover?")}

@@ -15,13 +15,17 @@ def test_streams_equal_their_batch_twins(spark, data, tmp_path):
 
 
 def test_upsert_stream(spark, tmp_path):
-    src, out = tmp_path / "in", tmp_path / "out"
+    src, out = tmp_path / "in", str(tmp_path / "out")
     schema = "id int, v string, seq int"
-    for i, rows in enumerate(([(1, "a", 1), (2, "b", 1)], [(2, "c", 2), (3, "d", 1)])):
+    assert S.current(spark, out) is None
+    many = [(i, f"m{i}", 1) for i in range(100, 300)]
+    for rows in ([(1, "a", 1), (2, "b", 1), *many], [(2, "c", 2), (3, "d", 1)], [(2, "x", 3)], [(2, "y", 4)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-        q = S.upsert_stream(spark.readStream.schema(schema).parquet(str(src)), str(out), "id", "seq", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = S.upsert_stream(spark.readStream.schema(schema).parquet(str(src)), out, "id", "seq", str(tmp_path / "cp"), buckets=8).trigger(availableNow=True).start()
         q.awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(f"{out}/v1").collect()} == {(1, "a", 1), (2, "c", 2), (3, "d", 1)}
+    assert {tuple(r) for r in S.current(spark, out).select("id", "v", "seq").collect()} == {(1, "a", 1), (2, "y", 4), (3, "d", 1), *many}
+    held = S._snapshots(spark, out)
+    assert len(held) == 8 and max(map(len, held.values())) == 2 and sum(map(len, held.values())) <= 10  # only touched buckets are rewritten
 
 
 def test_usage_stream_equals_its_batch_twin(spark, data, tmp_path):
