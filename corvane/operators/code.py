@@ -73,11 +73,22 @@ def group_summary(files: DataFrame, group: str, path: str, size: str, language:
 
 
 def representatives(files: DataFrame, group: str, size: str, key: str, per_group: int) -> DataFrame:
-    """Files from the middle of each group's sizes: all of a small group, else those from ``(n - p) // 2`` on."""
-    counts = files.groupBy(group).agg(F.count("*").alias("__n"))
-    ranked = files.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(size, key)) - 1).join(counts, group)
-    first = F.greatest(F.floor((F.col("__n") - per_group) / 2), F.lit(0))
-    return ranked.where((F.col("__n") <= per_group) | ((F.col("__r") >= first) & (F.col("__r") < first + per_group))).drop("__n", "__r")
+    """Files from the middle of each group's sizes: all of a small group, else those from ``(n - p) // 2`` on; ties by key.
+
+    Counts by size tell in which few sizes the middle lies; only files of those sizes are put in order, so a large group is
+    not sorted as a whole.
+    """
+    counts = files.groupBy(group, F.col(size).alias("__s")).agg(F.count("*").alias("__c"))
+    sizes = Window.partitionBy(group)
+    upto = F.sum("__c").over(sizes.orderBy(F.asc_nulls_first("__s")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("__n", F.sum("__c").over(sizes)).withColumn("__upto", upto)
+    first = F.when(F.col("__n") <= per_group, 0).otherwise(F.greatest(F.floor((F.col("__n") - per_group) / 2), F.lit(0)))
+    wanted = placed.withColumn("__first", first).withColumn("__before", F.col("__upto") - F.col("__c")).where((F.col("__upto") > F.col("__first")) & (F.col("__before") < F.col("__first") + per_group))
+    middle = wanted.groupBy(group).agg(F.min(F.struct(F.col("__before"), F.col("__first"))).alias("m"))
+    inside = files.alias("f").join(wanted.select(F.col(group).alias("__g"), "__s").alias("w"), F.col(f"f.{group}").eqNullSafe(F.col("__g")) & F.col(f"f.{size}").eqNullSafe(F.col("__s"))).select("f.*")
+    ranked = inside.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(F.asc_nulls_first(size), key)) - 1)
+    joined = ranked.alias("r").join(middle.select(F.col(group).alias("__g"), F.col("m.__before").alias("__b"), F.col("m.__first").alias("__f")), F.col(f"r.{group}").eqNullSafe(F.col("__g")))
+    return joined.where((F.col("__r") + F.col("__b") >= F.col("__f")) & (F.col("__r") + F.col("__b") < F.col("__f") + per_group)).select("r.*").drop("__r")
 
 
 def path_tree(files: DataFrame, path: str, size: str) -> DataFrame:

@@ -34,10 +34,10 @@ def trend(scores: DataFrame, at: str, days: int = 30, **values: Column) -> DataF
     return newest.groupBy(F.date_format(at, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("evaluations"), *means)
 
 
-def deltas(scores: DataFrame, value: str, *order: str) -> DataFrame:
-    """Each score with its change from the one before; for the few scores of a run of evaluations."""
-    w = Window.orderBy(*order)
-    return scores.withColumn("delta", F.round(F.col(value) - F.lag(value).over(w), 6))
+def deltas(scores: DataFrame, at: str, value: str) -> DataFrame:
+    """(day, mean, delta): the mean score of each day with its change from the day before that has any; a window over days."""
+    daily = scores.groupBy(F.date_format(at, "yyyy-MM-dd").alias("day")).agg(F.round(F.avg(value), 6).alias("mean"))
+    return daily.withColumn("delta", F.round(F.col("mean") - F.lag("mean").over(Window.orderBy("day")), 6))  # a row for each day
 
 
 def improvement(scores: DataFrame, value: str, at: str) -> DataFrame:

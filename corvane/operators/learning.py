@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators.retrieval import vector_topk
+from corvane.session import ship_package
 
 POSITIVE, CORRECTION_CONFIDENCE = 0.6, 0.8
 #: The text of a context: its head and foot, the heads of its sections and the parts of their lines.
@@ -42,24 +46,39 @@ def refinements(pairs: DataFrame) -> DataFrame:
     return pairs.where(ok).select("original_query", "refined_query", F.col("rating").alias("improvement_score"), F.lit(1.0).alias("success_rate"))
 
 
-def usage_fold(events: DataFrame, key: str, order: str, helpful: Column, rate0: float = 0.5, count0: int = 0, confidence0: float = 0.5, run: int = 4096) -> DataFrame:
+def usage_fold(events: DataFrame, key: str, order: str, helpful: Column, rate0: float = 0.5, count0: int = 0, confidence0: float = 0.5) -> DataFrame:
     """(key, usage_count, success_rate, confidence) after uses in order: confidence rises by 0.05 or falls by 0.02, clamped to [0, 1].
 
     The rate has a closed form. The clamped confidence is an ordered fold, and clamped shifts compose: a run of them is
-    ``x -> min(high, max(low, x + shift))``. Uses are folded to that form in runs of about ``run``, cut by the hash of their
-    place in time, and only the runs' three numbers are folded by key, so a hot key isn't gathered into one task.
+    ``x -> min(high, max(low, x + shift))``. Uses are put in order by ranges of key and time, so a hot key lies in as many
+    ranges as it fills; each range folds its runs to three numbers, and only those are folded by key. Of uses at one time,
+    helpful ones come first.
     """
-    used = events.select(F.col(key), F.col(order).alias("__o"), helpful.cast("int").alias("__x")).withColumn("__d", F.when(F.col("__x") == 1, 0.05).otherwise(-0.02))
-    bounds = used.groupBy(key).agg(F.min("__o").alias("__min"), F.max("__o").alias("__max"), F.count("*").alias("__n"))
-    span = F.greatest(F.unix_micros("__max") - F.unix_micros("__min"), F.lit(1))
-    cutting = used.join(bounds, key).withColumn("__run", F.floor((F.unix_micros("__o") - F.unix_micros("__min")) / span * F.ceil(F.col("__n") / run)))
-    runs = cutting.groupBy(key, "__run").agg(F.array_sort(F.collect_list(F.struct("__o", "__d"))).alias("__list"), F.count("*").alias("n"), F.sum("__x").alias("s"))
-    clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    start = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
-    form = F.aggregate("__list", start, lambda f, e: F.struct((f["shift"] + e["__d"]).alias("shift"), clamp(f["low"] + e["__d"]).alias("low"), clamp(f["high"] + e["__d"]).alias("high")))
-    forms = runs.select(key, "__run", "n", "s", form.alias("f"))
-    whole = forms.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array_sort(F.collect_list(F.struct("__run", "f"))).alias("__forms"))
-    confidence = F.aggregate("__forms", F.lit(float(confidence0)), lambda c, e: F.least(e["f"]["high"], F.greatest(e["f"]["low"], c + e["f"]["shift"])))
+    ship_package(events.sparkSession)
+    used = events.select(F.col(key), F.col(order).alias("__o"), F.coalesce(helpful, F.lit(False)).cast("int").alias("__x"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "first", "n", "s", "shift", "low", "high"]
+        run: list | None = None  # of the key whose run goes on
+        for batch in batches:
+            done = []
+            for k, o, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if run is None or run[0] != k:
+                    if run is not None:
+                        done.append(tuple(run))
+                    run = [k, o, 0, 0, 0.0, float("-inf"), float("inf")]
+                d = 0.05 if x else -0.02
+                run[2:] = [run[2] + 1, run[3] + x, run[4] + d, max(0.0, min(1.0, run[5] + d)), max(0.0, min(1.0, run[6] + d))]
+            types = [batch.column(0).type, batch.column(1).type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 7, types, strict=True)], names=names)
+        if run is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(run, types, strict=True)], names=names)
+
+    kinds = dict(used.dtypes)
+    ordered = used.repartitionByRange(key, "__o").sortWithinPartitions(key, "__o", F.desc("__x"))
+    forms = ordered.mapInArrow(fold, f"`{key}` {kinds[key]}, first {kinds['__o']}, n bigint, s bigint, shift double, low double, high double")
+    whole = forms.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array_sort(F.collect_list(F.struct("first", "shift", "low", "high"))).alias("__forms"))  # a row for each range
+    confidence = F.aggregate("__forms", F.lit(float(confidence0)), lambda c, e: F.least(e["high"], F.greatest(e["low"], c + e["shift"])))
     rate = (F.lit(rate0 * count0) + F.col("s")) / (F.lit(count0) + F.col("n"))
     return whole.select(key, (F.col("n") + count0).alias("usage_count"), F.round(rate, 6).alias("success_rate"), F.round(confidence, 6).alias("confidence"))
 

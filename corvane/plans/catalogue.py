@@ -76,7 +76,7 @@ def bm25_topk(spark, d):
 
 
 @query("""SELECT doc_id, hits, row_number() OVER (ORDER BY hits DESC, doc_id) AS rank FROM (SELECT doc_id, sum(tf)::BIGINT AS hits FROM
- (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) WHERE term IN ('cache','index','partition') GROUP BY ALL)
+ (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pM\\pN]+')) AS term FROM documents) WHERE term IN ('cache','index','partition') GROUP BY ALL)
  GROUP BY doc_id HAVING count(*) = 3 ORDER BY hits DESC, doc_id LIMIT 20)""")
 def fulltext_and(spark, d):
     return retrieval.fulltext_and(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", TERMS, 20)
@@ -315,8 +315,7 @@ def score_trend(spark, d):
 
 @query("""SELECT day, mean, round(mean - lag(mean) OVER (ORDER BY day), 6) AS delta FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS mean FROM events GROUP BY 1)""")
 def score_delta(spark, d):
-    by_day = table(spark, d, "events", "ts", "value").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean"))
-    return evaluate.deltas(by_day, "mean", "day")
+    return evaluate.deltas(table(spark, d, "events", "ts", "value"), "ts", "value")
 
 
 @query("""SELECT first, last, round((last - first) / first * 100, 6) AS percent FROM (SELECT arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events)""")

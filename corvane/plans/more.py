@@ -137,10 +137,10 @@ def chains_nearest(spark, d):
     return learning.nearest_chains(chains, "vec_id", "embedding", _query_vector(spark, d))
 
 
-_ASKED = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:5])"
+_ASKED = "list_distinct(regexp_extract_all(lower(text), '[\\pL\\pM\\pN]+')[1:5])"
 _BATCH = f"""asked AS (SELECT doc_id AS query_id, text, unnest({_ASKED}) AS term FROM documents WHERE doc_id % 100 = 0),
- post AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)) GROUP BY ALL),
- freq AS (SELECT term, count(*) AS df FROM post GROUP BY 1), stat AS (SELECT count(*) AS docs, avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS mean FROM documents),
+ post AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pM\\pN]+') AS w FROM documents)) GROUP BY ALL),
+ freq AS (SELECT term, count(*) AS df FROM post GROUP BY 1), stat AS (SELECT count(*) AS docs, avg(len(regexp_extract_all(lower(text), '[\\pL\\pM\\pN]+'))) AS mean FROM documents),
  scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM asked JOIN post USING (term) JOIN freq USING (term), stat GROUP BY ALL),
  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 20)"""
 
