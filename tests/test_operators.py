@@ -107,8 +107,13 @@ def test_learning(spark):
     rng, at = random.Random(1), datetime.datetime(2024, 1, 1)
     uses = [(k, at + datetime.timedelta(seconds=i), rng.random() < p) for k, p in (("a", 0.9), ("b", 0.1), ("c", 0.5)) for i in range(400)]
     df = spark.createDataFrame(uses, "k string, at timestamp, ok boolean")
-    for run in (4096, 37):
-        got = {r.k: (r.usage_count, r.confidence) for r in learning.usage_fold(df, "k", "at", F.col("ok"), run=run).collect()}
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    for ranges in ("1", "23"):  # a key in one range, and in many
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.k: (r.usage_count, r.confidence) for r in learning.usage_fold(df, "k", "at", F.col("ok")).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         for k in "abc":
             c = 0.5
             for _, _, ok in (u for u in uses if u[0] == k):
