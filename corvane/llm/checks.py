@@ -19,3 +19,23 @@ P2_FOUND = r"""WITH r AS (SELECT DISTINCT 'rag_documents' AS tbl, id, content FR
  n AS (SELECT tbl, id, count(*) AS n FROM g GROUP BY ALL),
  p AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS shared FROM g a JOIN g b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY ALL)
  SELECT p.tbl, id_a, id_b FROM p JOIN n x ON x.tbl = p.tbl AND x.id = id_a JOIN n y ON y.tbl = p.tbl AND y.id = id_b WHERE shared / (x.n + y.n - shared) >= 0.6"""
+
+_P2_GRAMS = r"""r AS (SELECT DISTINCT 'rag_documents' AS tbl, id, coalesce(content, '') AS content FROM rag_documents UNION SELECT DISTINCT 'rag_chunks', id, coalesce(content, '') FROM rag_chunks),
+ w AS (SELECT tbl, id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM r),
+ g AS (SELECT DISTINCT tbl, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 30),
+ c AS (SELECT tbl, id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS class FROM g GROUP BY ALL)"""
+
+P2_LINKS = f"""WITH {_P2_GRAMS}, h AS (SELECT tbl, min(id) AS id, any_value(n) AS n FROM c GROUP BY tbl, class), k AS (SELECT g.* FROM g JOIN h USING (tbl, id)),
+ p AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS shared FROM k a JOIN k b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+ SELECT p.tbl, id_a, id_b, round(shared / (x.n + y.n - shared), 6) AS similarity FROM p JOIN h x ON x.tbl = p.tbl AND x.id = id_a JOIN h y ON y.tbl = p.tbl AND y.id = id_b WHERE shared / (x.n + y.n - shared) >= 0.6"""
+
+P2_MEMBERS = f"""WITH {_P2_GRAMS}, m AS (SELECT tbl, id, class FROM c UNION ALL SELECT tbl, id, 'words ' || array_to_string(w, ' ') FROM w WHERE len(w) < 30)
+ SELECT tbl, id, min(id) OVER (PARTITION BY tbl, class) AS representative FROM m"""
+
+P1_COVER = r"SELECT id AS document_id, TRUE AS whole FROM (SELECT id, any_value(content) AS content FROM rag_documents GROUP BY 1) WHERE regexp_matches(content, '[^\s\pZ]')"
+
+P7_COVER = "SELECT pack_name, doc_id, TRUE AS whole FROM pack_capacities, documents WHERE length(text) > 0"
+
+P8_CAPS = "SELECT lower(replace(source, '_', '-')) AS source, round(target_share, 6) AS target_share, max_repeats::BIGINT AS max_repeats, TRUE AS kept FROM mix_targets"
+
+P9_COVER = r"SELECT doc_id, length(regexp_replace(text, '[\s\pZ]', '', 'g'))::BIGINT AS chars FROM documents WHERE regexp_matches(text, '[^\s\pZ]')"

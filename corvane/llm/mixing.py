@@ -113,7 +113,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
             held[0], held[1] = held[0] + share, min(held[1], cap)
     names = spark.createDataFrame([(s,) for s in wanted], "source string")
     sized = documents.where(F.col("tokens") > 0).select("doc_id", source_name(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"), "weight").join(F.broadcast(names), "source")
-    totals = {r["source"]: r["available"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("available")).collect()}  # a row for each target at most
+    sums = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.max("tokens").alias("largest")).collect()  # a row for each target at most
+    totals = {r["source"]: r["available"] for r in sums}
+    largest = spark.createDataFrame([(r["source"], r["largest"]) for r in sums], "source string, largest bigint")
     plan = budgets([(s, share, cap, totals.get(s, 0)) for s, (share, cap) in sorted(wanted.items())], total_tokens)
     plans = F.broadcast(spark.createDataFrame(plan, _PLAN))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -129,10 +131,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     repeats = F.least(F.col("epochs") + F.col("part"), F.col("max_repeats")).cast("int")
     drawn = sure.unionByName(decided).select("source", "doc_id", "tokens", repeats.alias("repeats")).where(F.col("repeats") > 0)
     reached = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"), F.count("*").alias("documents"))
-    full = spark.createDataFrame(plan, _PLAN).join(reached, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    full = spark.createDataFrame(plan, _PLAN).join(reached, "source", "left").join(largest, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     every = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # a row for each target
     report = full.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens"), every), F.lit(0.0))).select(
-        "source", "target_share", "effective_share", "actual_share", "available", "budget", "tokens", "epochs", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"),
+        "source", "target_share", "effective_share", "actual_share", "available", "budget", "tokens", "epochs", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("largest", F.lit(0)).alias("largest"),
         F.round(F.col("target_share") - F.col("actual_share"), 9).alias("shortfall"),
     )
     return drawn, report
