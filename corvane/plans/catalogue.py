@@ -84,9 +84,8 @@ def fulltext_and(spark, d):
 
 def _hybrid(alpha: float) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        v = retrieval.vector_topk(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), 20).withColumnRenamed("vec_id", "doc_id")
-        b = retrieval.bm25_topk(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", TERMS, 20)
-        return retrieval.fuse(v, b, "doc_id", alpha)
+        items = table(spark, d, "embeddings", F.col("vec_id").alias("doc_id"), "embedding")
+        return retrieval.hybrid_search(items, table(spark, d, "documents", "doc_id", "text"), "doc_id", "embedding", "text", _query_vector(spark, d), TERMS, top=10, alpha=alpha)
 
     return run
 
@@ -168,8 +167,8 @@ def chunk_index_window(spark, d):
 @query("""SELECT id, count(*)::BIGINT AS paragraphs, sum(length(p))::BIGINT AS chars FROM (SELECT DISTINCT id, content FROM rag_documents) r, unnest(list_filter(list_transform(regexp_split_to_array(content, '\\n[ \\t\\r\\n\\f\\v]*\\n'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda x: x <> '')) AS u(p) GROUP BY id""")
 def paragraphs(spark, d):
     r = table(spark, d, "rag_documents", "id", "content").distinct()
-    parts = r.select("id", F.explode(F.split("content", r"\n[ \t\r\n\f\x0b]*\n")).alias("p")).withColumn("p", F.regexp_replace("p", r"^[ \t\r\n\f\x0b]+|[ \t\r\n\f\x0b]+$", ""))
-    return parts.where("p <> ''").groupBy("id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("p")).alias("chars"))
+    parts = r.select("id", F.explode(chunking.paragraphs(F.col("content"))).alias("p"))
+    return parts.groupBy("id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("p")).alias("chars"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT id, list_transform(list_filter(regexp_split_to_array(content, '\\n'), lambda x: x <> ''), lambda x: length(x)::BIGINT) AS l FROM (SELECT DISTINCT id, content FROM rag_documents)),
