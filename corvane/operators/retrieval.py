@@ -84,10 +84,12 @@ def vector_topk_batch(items: DataFrame, key: str, vector: str, queries: DataFram
     return ranked.where(F.col("rank") <= k)
 
 
-def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, length): the inverted index of a corpus, terms counted where their document lies."""
+def postings(documents: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, length): the inverted index of a corpus, terms counted where their document lies; of the terms in
+    ``terms`` only, if given, which are sifted out ahead of the shuffle where Spark finds them small enough to broadcast."""
     split = documents.select(key, words(F.col(text)).alias("__w"))
-    return split.select(key, F.size("__w").alias("length"), F.explode("__w").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf")).select("term", key, "tf", "length")
+    every = split.select(key, F.size("__w").alias("length"), F.explode("__w").alias("term"))
+    return (every if terms is None else every.join(terms.select("term").distinct(), "term", "left_semi")).groupBy("term", key, "length").agg(F.count("*").alias("tf")).select("term", key, "tf", "length")
 
 
 def write_index(documents: DataFrame, key: str, text: str, folder: str, buckets: int = 64) -> None:
@@ -133,9 +135,9 @@ def bm25_batch(documents: DataFrame, key: str, text: str, queries: DataFrame, k:
     One pass over the corpus serves all queries: postings meet the queries' terms by one join, whose hot terms adaptive
     skew handling splits, and the k best of a query are cut in each task first.
     """
-    index = postings(documents, key, text)
     wanted = queries.select("query_id", "term").distinct()
-    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    index = postings(documents, key, text, wanted)
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
     statistics = documents.agg(F.count("*").alias("docs"), F.avg(F.size(words(F.col(text)))).alias("mean"))
     scores = bm25_of(index.join(wanted.join(df, "term"), "term"), statistics, key, "query_id")
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
