@@ -68,3 +68,25 @@ def test_empty_tables(spark, data, tmp_path, name):
     for t in ("github_files", "file_analysis", "library_files", "rag_knowledge_questions", "rag_user_feedback", "documents"):
         spark.read.parquet(f"{data}/{t}.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert catalogue.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "source", "stamp"), [("p4_redacted", "github_files", "scanned_at"), ("p4_redacted_analysis", "file_analysis", "last_modified")])
+def test_redaction_gives_whole_tables(spark, data, tmp_path, name, source, stamp):
+    """Every column and row of both file tables: two contents of one key, rows without a key, repeated rows once."""
+    whole = spark.read.parquet(f"{data}/{source}.parquet")
+    again = whole.where("content != ''").orderBy("file_id").limit(1)
+    odd = [(-1, "a.py", 'pwd = "Qx81!zzT4"\n'), (-1, "a.py", 'x = 1\npwd = "k7Xq-93hdYtt"\n'), (None, "b.py", "x = 1\n"), (None, "c.py", 'token = "mysql8Xk2pQ9"\n')]
+    rows = whole.unionByName(again).unionByName(spark.createDataFrame(odd, "file_id bigint, path string, content string"), allowMissingColumns=True)
+    rows.coalesce(1).write.parquet(str(tmp_path / f"{source}.parquet"))
+    clean = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert clean.schema == whole.schema
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: str(r[stamp])):  # the latest of repeated rows stays
+        old, encoding = r.asDict(), r.asDict().get("encoding")
+        text = credentials.decoded(r.content, encoding)
+        if credentials.spans(text, r.path or ""):
+            new = credentials.redact(text, r.path or "")
+            old["content"] = credentials.encoded(new) if encoding == "base64" else new
+        want[r.file_id, r.path, r.content] = repr(old)
+    assert sorted(repr(r.asDict()) for r in clean.collect()) == sorted(want.values())
+    assert {r.content for r in clean.where("file_id IS NULL OR file_id < 0").collect()} == {'pwd = "REDACTED"\n', 'token = "REDACTED"\n', "x = 1\n", 'x = 1\npwd = "REDACTED"\n'}
